@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces kept by one Python worker (about 200 bytes each); the cache starts anew when full.
-CACHE = 500_000
+CACHE = 800_000
 _LONGEST = 64
 _ODD_BLANK = re.compile(r"\s | \s|^ | $")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -66,14 +66,26 @@ class Encoder:
         kept = self.kept
         if len(kept) > CACHE:
             kept.clear()
-        todo = list({p for parts in cut for p in parts if p not in kept})
-        once = {}
-        for at in range(0, len(todo), 4096):
-            some = todo[at : at + 4096]
-            whole = [self._whole(p) for p in some]
-            for p, w, e in zip(some, whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-                (kept if len(w) <= _LONGEST else once)[p] = np.array(e.ids, "<i4").tobytes()
-        return [b"".join([kept[p] if p in kept else once[p] for p in parts]) for parts in cut]
+        todo = list(set().union(*cut).difference(kept))
+        for at in range(0, len(todo), 2048):
+            self._learn(todo[at : at + 2048])
+        out = [b"".join(map(kept.__getitem__, parts)) for parts in cut]
+        for p in todo:
+            if len(p) > _LONGEST or isinstance(p, tuple) and len(p[0]) > _LONGEST:
+                del kept[p]
+        return out
+
+    def _learn(self, new: list) -> None:
+        """Encode many pieces in one call: joined, they are cut apart again by where each token starts."""
+        whole = [self._whole(p) for p in new]
+        alone = [self.leads and (isinstance(p, tuple) or " " in p) for p in new]
+        run = [w if self.leads else w + " " for w, one in zip(whole, alone, strict=True) if not one]
+        ends = np.cumsum([len(w) for w in run])
+        e = self.tokenizer.encode("".join(run), add_special_tokens=False)
+        ids, starts = np.array(e.ids, "<i4"), np.array([a for a, _ in e.offsets], np.int64)
+        cuts = iter(np.split(ids, np.searchsorted(starts, ends[:-1])) if run else [])
+        for p, w, one in zip(new, whole, alone, strict=True):
+            self.kept[p] = (np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<i4") if one else next(cuts)).tobytes()
 
 
 @lru_cache(4)
