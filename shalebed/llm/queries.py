@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, language, licenses, packing, pii, sharding, token_files
+from . import host_rules, language, licenses, near_dup, packing, pii, sharding, token_files
 from .staging import shared_dir
 
 
@@ -23,6 +23,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.find(documents(spark, sf_dir))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-ALL = [op1_language_id, op4_pii, op5_packing, op7_license_templates, op8_token_files, op9_host_rules, op10_histogram_sort]
+ALL = [op1_language_id, op3_near_dup, op4_pii, op5_packing, op7_license_templates, op8_token_files, op9_host_rules, op10_histogram_sort]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
