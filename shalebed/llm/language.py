@@ -127,7 +127,7 @@ class Model:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def labelled(docs: DataFrame, id_col: str = "doc_id") -> Column:
+def labelled(id_col: str = "doc_id") -> Column:
     """Rows that may be learned from: crc32 of the id as text is not 2 modulo 4."""
     return ~held_out(id_col)
 

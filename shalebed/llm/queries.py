@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, language, licenses, near_dup, packing, pii, sharding, token_files
+from . import decontaminate, host_rules, language, licenses, near_dup, packing, pii, repeats, sharding, token_files
 from .staging import shared_dir
 
 
@@ -18,11 +18,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = language.fit(docs.where(language.labelled(docs)))
+    model = language.fit(docs.where(language.labelled()))
     out = language.predict(docs.withColumn("held_out", language.held_out()), model, ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(documents(spark, sf_dir)).drop("kept")
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.find(documents(spark, sf_dir))
 
@@ -35,6 +39,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -55,7 +63,7 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-ALL = [op1_language_id, op3_near_dup, op4_pii, op5_packing, op7_license_templates, op8_token_files, op9_host_rules, op10_histogram_sort]
+ALL = [op1_language_id, op2_repeated_passages, op3_near_dup, op4_pii, op5_packing, op6_decontamination, op7_license_templates, op8_token_files, op9_host_rules, op10_histogram_sort]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
