@@ -298,9 +298,7 @@ class MaterializedView:
         keys, manifests, deleted = self.view.primary_keys, parent["manifests"], []
         if snap["deleted"] and set(gone.columns) == set(keys):
             manifest = mv._matching(gone, parent)
-            scan = mv._scan(mv._files(manifest))
-            named = scan.select(*(f"`{k}`" for k in keys), F.col("_metadata.file_path").alias("_p")).join(gone, keys, "left_semi")
-            touched = mv._touched(named, manifest)
+            touched = mv._touched(mv._named(manifest).join(gone, keys, "left_semi"), manifest)
             if not touched.isEmpty():
                 manifests, deleted = mv._rewrite(parent, touched, lambda o: o.join(gone, keys, "left_anti").select(o.columns), lambda o: o.join(gone, keys, "left_semi"))
         new, stats, where = mv._store(added)

@@ -211,6 +211,11 @@ class Dataset(View):
         schema = S.physical(self.schema, self.record_fields)
         return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
 
+    def _named(self, manifest: DataFrame) -> DataFrame:
+        """A scan of a manifest's files, with the path of each row's file as _p."""
+        files = self._files(manifest)
+        return self._scan(files).withColumn("_p", F.col("_metadata.file_path") if files else F.lit(None).cast("string"))
+
     def _write(self, df: DataFrame) -> tuple[str, dict]:
         """Write rows of the physical schema to a new folder; the manifest's path and the sums."""
         txn = f"data/{uuid.uuid4().hex}"
@@ -386,7 +391,7 @@ class Dataset(View):
         """Remove rows for which ``filter_`` is true (not null). Only files that hold one are rewritten; none: SKIPPED."""
         parent, test = self._head(), as_column(filter_)
         manifest = self.index_manifest(filter_, parent["snapshot_id"])
-        touched = self._touched(self._scan(self._files(manifest)).where(test).select(F.col("_metadata.file_path").alias("_p")), manifest)
+        touched = self._touched(self._named(manifest).where(test), manifest)
         if touched.isEmpty():
             return None
         manifests, deleted = self._rewrite(parent, touched, lambda df: df.where(~F.coalesce(test, F.lit(False))), lambda df: df.where(test))
@@ -416,14 +421,13 @@ class Dataset(View):
         if not keys.dropna().groupBy(*pk).count().where("count > 1").isEmpty():
             raise PrimaryKeyExistError("A primary key stands twice in the input")
         manifest = self._matching(keys, parent)
-        scan = self._scan(self._files(manifest))
+        scan = self._named(manifest)
         if not replace:
             if not scan.join(keys, pk, "left_semi").isEmpty():
                 raise PrimaryKeyExistError("Primary key to insert already exist")
             manifests, deleted = parent["manifests"], []
         else:
-            named = scan.select(*(f"`{k}`" for k in pk), F.col("_metadata.file_path").alias("_p")).join(keys, pk, "left_semi")
-            touched = self._touched(named, manifest)
+            touched = self._touched(scan.join(keys, pk, "left_semi"), manifest)
             manifests, deleted = parent["manifests"], []
             if not touched.isEmpty():
                 manifests, deleted = self._rewrite(parent, touched, lambda o: o.join(keys, pk, "left_anti").select(o.columns), lambda o: o.join(keys, pk, "left_semi"))
