@@ -5,11 +5,14 @@ MinHash samples; a band's samples hash to a bucket, and the samples fold into a
 bitmap (odd sketch) of 256 bits: two nodes' XOR has few bits if their sets are alike.
 
 Links are found without listing the pairs of a bucket. First each bucket's most
-central member (the one in the fullest buckets) is compared with the others; then only
-buckets that still hold more than one component are looked at again, and there members
-outside the largest component are compared with every member of other components. So
-each pair of a bucket is either compared or already in one component, and the
-components are those of comparing all pairs. The sieve is part of the join condition.
+central member (the one in the fullest buckets), its head, is compared with the others.
+Buckets that then still hold more than one component are looked at again. In those of
+up to ``DENSE`` members, members outside the largest component are compared with every
+member of other components. A larger bucket is dealt into smaller ones by the shingles
+that its members have and its head lacks (:func:`_indexed`), which keeps every link, and
+these are treated in the same way, up to ``LEVELS`` times. So each pair of a bucket is
+compared, or in one component already, or can't be a link; the components are those of
+comparing all pairs. The sieve is part of the join condition.
 
 A pair at the threshold shares no bucket with probability 5e-5, and passes the sieve
 but for 1e-7; both fall quickly above it.
@@ -38,6 +41,11 @@ SKETCH_WORDS = 4
 #: Bits in which sketches may differ. At 0.85, 33 are expected and more than this has probability 1e-7.
 SIEVE = 60
 THRESHOLD = 85
+#: Members up to which a bucket's components are compared pair by pair; larger buckets are dealt into smaller ones first.
+DENSE = 64
+LEVELS = 2
+#: Residues of ids by which texts are sieved before they are sent: the bound of that broadcast.
+RESIDUES = 1 << 20
 
 _K = BANDS * ROWS
 _rng = np.random.default_rng(20_240_601)
@@ -132,13 +140,27 @@ def _confirm(threshold: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b: node ids) whose full shingle sets are alike enough. docs: _id and _text."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = docs.join(nodes, docs["_id"] == nodes["node"]).select("node", "_text").mapInArrow(_sets, "node long, shingles binary")
-    sets = stage(sets.dropDuplicates(["node"]), "near-sets")
+def full_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its shingle hashes, sorted, as bytes, of every node. texts: _id and _text.
+
+    Texts whose id has the residue of no node stay where they are; at most ``RESIDUES``
+    numbers are broadcast for that, however many nodes there are.
+    """
+    residue = lambda c: F.pmod(F.xxhash64(c), F.lit(RESIDUES))
+    near = texts.join(F.broadcast(nodes.select(residue("node").alias("_r")).distinct()), residue("_id") == F.col("_r"), "left_semi")
+    held = near.join(nodes, F.col("_id") == F.col("node")).dropDuplicates(["node"])
+    return stage(held.select("node", "_text").mapInArrow(_sets, "node long, shingles binary"), "near-sets")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b and more) with the sets x of a and y of b."""
     x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    return stage(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(threshold), "a long, b long"), "near-links")
+    return pairs.join(x, "a").join(y, "b")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The pairs (a, b: node ids) whose full shingle sets are alike enough."""
+    return stage(_with_sets(pairs, sets).select("a", "b", "x", "y").mapInArrow(_confirm(threshold), "a long, b long"), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -166,35 +188,119 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     kinds = signed.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _S))
     kinds = stage(kinds, "near-nodes")
     sketches = kinds.dropDuplicates(["node"]).select("node", *_S)
-    rows = kinds.select("node", F.posexplode("bands").alias("i", "band")).select("node", F.xxhash64("i", "band").alias("key")).distinct()
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = stage(rows.join(full, "key"), "near-buckets")
-    weight = rows.groupBy("node").agg(F.sum("n").alias("w"))
-    heads = rows.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("head"))
-    pairs = rows.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(_sieved(pairs, sketches), texts, threshold)
+    rows = _shared(kinds.select("node", F.posexplode("bands").alias("i", "band")).select("node", F.xxhash64("i", "band").alias("key")))
+    sets = full_sets(texts, rows.select("node").distinct())
+    links = None
+    for level in range(LEVELS + 1):
+        heads = _heads(rows)
+        pairs = rows.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+        links = _plus(links, confirmed(_sieved(pairs, sketches), sets, threshold))
+        comp = components(links)
+        split = _split(rows, comp, sketches)
+        if level == LEVELS or split.where(F.col("n") > DENSE).isEmpty():
+            links = _plus(links, confirmed(_across(split), sets, threshold))
+            break
+        members = split.where(F.col("n") > DENSE).join(heads, "key").select("head", "node", "comp").distinct()
+        index = stage(_indexed(members, sets, threshold), "near-index")
+        rows = _shared(index.where("not center").select("node", F.xxhash64("head", "x").alias("key")))
+        finer = _split(rows.where(F.col("n") <= DENSE), comp, sketches)
+        pairs = _across(split.where(F.col("n") <= DENSE).unionByName(finer)).union(_by_center(index, sketches)).distinct()
+        links = _plus(links, confirmed(pairs, sets, threshold))
+        rows = rows.where(F.col("n") > DENSE)
+        if rows.isEmpty():
+            break
     comp = components(links)
-    more = confirmed(_rest(rows, comp, sketches), texts, threshold)
-    comp = components(links.union(more))
     ends = signed.select("doc_id", "n_shingles", "d0", "d1").join(kinds.select("d0", "d1", "node"), ["d0", "d1"], "left").join(comp, "node", "left")
     out = ends.select("doc_id", "n_shingles", F.coalesce("comp", "node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _plus(links: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if links is None else links.union(more)
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """key, node and n (members of the key) of the keys with more than one row."""
+    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stage(rows.join(full, "key"), "near-buckets")
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """The member of each bucket that is in the fullest buckets: the same one for as many buckets of a group as can be."""
+    weight = rows.groupBy("node").agg(F.sum("n").alias("w"))
+    return stage(rows.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("head")), "near-heads")
+
+
 def _sieved(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     x, y = sketches.alias("x"), sketches.alias("y")
     joined = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
     return stage(joined.where(_apart("x", "y") <= SIEVE).select("a", "b"), "near-pairs")
 
 
-def _rest(rows: DataFrame, comp: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of one bucket but different components that pass the sieve."""
-    placed = rows.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+def _split(rows: DataFrame, comp: DataFrame, sketches: DataFrame) -> DataFrame:
+    """key, n, node, comp, top (the largest component of the key) and sketch, of the keys that hold several components."""
+    placed = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     # one component in all: nothing left to compare in the bucket
-    split = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "top")
-    placed = stage(placed.join(split, "key").join(sketches, "node"), "near-rest")
-    x, y = placed.where("comp <> top").alias("x"), placed.alias("y")
+    split = sizes.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "top")
+    return stage(placed.join(split, "key").join(sketches, "node"), "near-rest")
+
+
+def _across(split: DataFrame) -> DataFrame:
+    """Pairs of one bucket but different components that pass the sieve."""
+    x, y = split.where("comp <> top").alias("x"), split.alias("y")
     apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.node") < F.col("y.node")))
     found = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & (_apart("x", "y") <= SIEVE))
     return stage(found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-pairs")
+
+
+def _prefixes(threshold: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, xs, center, small = [], [], [], []
+            for c, s, own in zip(batch.column("x"), batch.column("y"), batch.column("own").to_pylist(), strict=True):
+                c, s = np.frombuffer(c.as_py(), np.uint64), np.frombuffer(s.as_py(), np.uint64)
+                p = len(s) - -(-threshold * len(s) // 100) + 1
+                inside = np.isin(s, c, assume_unique=True)
+                less = len(s) < len(c)
+                lacking = s[~inside][:p]
+                common = s[inside][: p - len(lacking)] if less or not own else s[:0]
+                xs += [lacking, common]
+                center += [np.zeros(len(lacking), bool), np.ones(len(common), bool)]
+                n.append(len(lacking) + len(common))
+                small.append(less)
+            take = pa.array(np.repeat(np.arange(len(n)), n))
+            flat = np.concatenate(xs) if xs else np.zeros(0, np.uint64)
+            cols = [batch.column(k).take(take) for k in ("a", "b", "comp", "own")]
+            yield pa.RecordBatch.from_arrays([*cols, _long(flat), pa.array(np.concatenate(center) if center else [], pa.bool_()), pa.array(small, pa.bool_()).take(take)], ["head", "node", "comp", "own", "x", "center", "small"])
+
+    return run
+
+
+def _indexed(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """head, node, comp, own (in the head's component), x (a shingle), center (the head has x), small (fewer shingles than the head).
+
+    A node's shingles are ordered: first those that the head lacks, then the others, each
+    by hash. Two sets of one order that are alike enough share one of their first
+    n - t n + 1 shingles (t: threshold), so those alone are rows here.
+
+    Let C be the head's set, i a node that isn't linked with it, and let i and j share
+    only shingles of C. With a lacking and k common shingles a link needs
+    min(k_i, k_j) >= t (a_i + a_j + max(k_i, k_j)), and k_i < t (|C| + a_i); so
+    k_j + a_j < |C|: j is small. Common shingles are therefore indexed only for small
+    nodes and for those outside the head's component.
+    """
+    own = members.where("head = node").select("head", F.col("comp").alias("_c"))
+    told = members.where("head <> node").join(own, "head", "left").withColumn("own", F.coalesce(F.col("comp") == F.col("_c"), F.lit(False)))
+    pairs = told.select(F.col("head").alias("a"), F.col("node").alias("b"), "comp", "own")
+    return _with_sets(pairs, sets).select("a", "b", "comp", "own", "x", "y").mapInArrow(_prefixes(threshold), "head long, node long, comp long, own boolean, x long, center boolean, small boolean")
+
+
+def _by_center(index: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs that share a common shingle in the index and may be links by :func:`_indexed`, through the sieve."""
+    rows = index.where("center").join(sketches, "node")
+    # one of each pair is outside the head's component; the other one is small
+    x, y = rows.where("not own").alias("x"), rows.where("small").alias("y")
+    may = (F.col("x.comp") != F.col("y.comp")) & (F.col("y.own") | F.col("x.small") & (F.col("x.node") < F.col("y.node")))
+    found = x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.x") == F.col("y.x")) & may & (_apart("x", "y") <= SIEVE))
+    return stage(found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-pairs")

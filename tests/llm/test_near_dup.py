@@ -50,6 +50,31 @@ def test_against_all_pairs(spark):
     assert len({c for _, c in want.values()}) > 20
 
 
+def test_large_buckets_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "DENSE", 4)
+    rng = random.Random(5)
+    texts = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for k in range(70):
+            copy = list(base)
+            if k % 3 == 0:  # shortened: mostly shingles of the others
+                cut = rng.randrange(14, 40)
+                at = rng.choice([0, 20, 80])
+                copy = copy[:at] + copy[at + cut :]
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 5])):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(300)}"
+            if k % 5 == 0:
+                copy += [f"tail{g}{i}" for i in range(rng.randrange(10, 30))]
+            texts.append(" ".join(copy))
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    want = brute(texts, ids)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.find(documents(spark, texts, ids=ids)).collect()}
+    assert got == want
+    assert len({c for _, c in want.values()}) > 20
+
+
 def test_odd_tables(spark):
     assert near_dup.find(documents(spark, [])).count() == 0
     got = near_dup.find(documents(spark, ["a b c", "a b c", None], ids=[4, 4, None])).collect()
