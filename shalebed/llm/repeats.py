@@ -151,8 +151,9 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     known = held.join(copies, ["_id", "_t"], "left_anti")
     # texts meet what is known of them once; from here on only those with a candidate phrase are carried
     open_ = stage(texts.join(known, ["_id", "_t"]).select("_id", "_t", "_text", "hs"), "repeat-open")
-    wins = open_.mapInArrow(_windows, "w long, _id long, _t long, at int")
-    firsts = wins.groupBy("w").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("w", "lo")
+    wins = stage(open_.mapInArrow(_windows, "w long, _id long, _t long, at int"), "repeat-windows")
+    # written too, so that the join below deals out both sides anew and Spark can split a window that a third of all rows hold
+    firsts = stage(wins.groupBy("w").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("w", "lo"), "repeat-firsts")
     gone = wins.join(firsts, "w").where("_id > lo").groupBy("_id", "_t").agg(F.collect_set("at").alias("at"))
     fate = stage(gone.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("at", F.lit(None).cast("array<int>"))), "repeat-fates")
     return texts.join(fate, ["_id", "_t"], "left").select("_id", "_text", "copy", "at").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
