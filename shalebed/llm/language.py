@@ -22,7 +22,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,7 +39,9 @@ SAMPLE = 3000
 ROUNDS = 2
 CHUNK = 32
 #: Words whose scores one Python worker keeps.
-CACHE = 300_000
+CACHE = 100_000
+#: Characters of text whose words are looked up together (a longer single text is looked up whole).
+SLICE = 1 << 20
 UNSEEN = 1e-7
 _SMOOTH = 0.05
 _LETTER = re.compile(r"[^\W\d_]")
@@ -56,6 +60,17 @@ def pieces(vocabulary: str) -> tuple[dict[str, int], int]:
     return out, max(map(len, out))
 
 
+@lru_cache(2)
+def automaton(vocabulary: str) -> ahocorasick.Automaton:
+    """Finds every piece in a text; a match's value is its index and, in the low eight bits, its length."""
+    out = ahocorasick.Automaton()
+    for x, i in pieces(vocabulary)[0].items():
+        if len(x) <= CHUNK and "\n" not in x:
+            out.add_word(x, i << 8 | len(x))
+    out.make_automaton()
+    return out
+
+
 def chunks(word: str) -> list[str]:
     word = "▁" + word
     return [word] if len(word) <= CHUNK else [word[i : i + CHUNK] for i in range(0, len(word), CHUNK)]
@@ -83,48 +98,81 @@ class Model:
     def __getstate__(self):
         return {"vocabulary": self.vocabulary, "langs": self.langs, "probs": self.probs, "kept": {}}
 
-    def word(self, word: str) -> np.ndarray:
-        """log of the word's probability in each language."""
-        known, longest = pieces(self.vocabulary)
-        rows = self.rows
-        total = np.zeros(len(self.langs))
-        for part in chunks(word):
-            alpha = [self.one]
-            for here in arcs(part, known, longest):
-                now = None
-                for a, p in here:
-                    x = alpha[a] * rows[p]
-                    now = x if now is None else now + x
-                alpha.append(now)
-            total += np.log(alpha[-1])
-        return total
-
-    @property
-    def rows(self) -> list[np.ndarray]:
-        if "_rows" not in self.__dict__:
-            self.__dict__["_rows"] = list(self.probs.astype(np.float64))
-            self.__dict__["one"] = np.ones(len(self.langs))
-        return self.__dict__["_rows"]
+    def learn(self, words: list[str]) -> None:
+        """Keep the log of each word's probability in each language: the forward algorithm, over all words at once.
+
+        Step e adds, for every word, the arcs that end at its place e.
+        """
+        parts = [(i, x) for i, w in enumerate(words) for x in chunks(w)]
+        size = np.array([len(x) for _, x in parts], np.int64)
+        begin = np.cumsum(size + 1) - size - 1
+        found = np.fromiter(chain.from_iterable(automaton(self.vocabulary).iter("\n".join([x for _, x in parts]))), np.int64).reshape(-1, 2)
+        end, length, piece = found[:, 0] + 1, found[:, 1] & 0xFF, found[:, 1] >> 8
+        # a code point that is no piece by itself is an unseen one
+        alone = np.ones(int(begin[-1] + size[-1]) + 1, bool)
+        alone[end[length == 1]] = False
+        alone[begin] = False
+        unseen = np.flatnonzero(alone)
+        end, length, piece = np.concatenate([end, unseen]), np.concatenate([length, np.ones_like(unseen)]), np.concatenate([piece, np.full_like(unseen, -1)])
+        at = np.searchsorted(begin, end - 1, side="right") - 1
+        step = end - begin[at]
+        order = np.lexsort((at, step))
+        at, step, length, piece = at[order], step[order], length[order], piece[order]
+        probs = self.probs.astype(np.float64)
+        alpha = np.zeros((int(size.max()) + 1, len(parts), len(self.langs)))
+        alpha[0] = 1.0
+        last = alpha[0].copy()
+        cut = np.searchsorted(step, np.arange(1, len(alpha) + 1))
+        for e in range(1, len(alpha)):
+            here = slice(cut[e - 1], cut[e])
+            x = alpha[e - length[here], at[here]] * probs[piece[here]]
+            first = np.flatnonzero(np.diff(at[here], prepend=-1))
+            last[at[here][first]] = alpha[e, at[here][first]] = np.add.reduceat(x, first)
+        got = np.zeros((len(words), len(self.langs)))
+        np.add.at(got, [i for i, _ in parts], np.log(last))
+        self.kept.update(zip(words, got))
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text, ``SLICE`` characters at a time."""
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size > SLICE:
+                out += self._slice(held)
+                held, size = [], 0
+        return out + self._slice(held)
+
+    def _slice(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        cut = [t.lower().split() if t and _LETTER.search(t) else [] for t in texts]
+        if len(self.kept) > CACHE:
+            self.kept.clear()
+        new = list(set().union(*cut).difference(self.kept))
+        for i in range(0, len(new), 4096):
+            self.learn(new[i : i + 4096])
+        out = []
+        for ws in cut:
+            if not ws:
+                out.append(("und", 0.0))
+                continue
+            total = np.sum([self.kept[w] for w in ws], axis=0)
+            odds = np.exp(total - total.max())
+            best = int(np.argmax(total))
+            out.append((self.langs[best], float(odds[best] / odds.sum())))
+        for w in new:
+            if len(w) > 2 * CHUNK:
+                del self.kept[w]
+        return out
 
     def text(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
-            return "und", 0.0
-        self.rows  # noqa: B018
-        kept, total = self.kept, np.zeros(len(self.langs))
-        if len(kept) > CACHE:
-            kept.clear()
-        found = []
-        for w in text.lower().split():
-            x = kept.get(w)
-            if x is None:
-                x = self.word(w)
-                if len(w) <= 2 * CHUNK:
-                    kept[w] = x
-            found.append(x)
-        total = np.sum(found, axis=0)
-        odds = np.exp(total - total.max())
-        best = int(np.argmax(total))
-        return self.langs[best], float(odds[best] / odds.sum())
+        return self._slice([text])[0]
+
+    def word(self, word: str) -> np.ndarray:
+        """log of the word's probability in each language."""
+        self.learn([word])
+        return self.kept[word]
 
 
 def labelled(id_col: str = "doc_id") -> Column:
@@ -210,7 +258,7 @@ def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            got = [m.text(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            got = m.texts(batch.column(batch.num_columns - 1).to_pylist())
             cols = batch.columns[:-1] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1] + ["lang_pred", "score"])
 

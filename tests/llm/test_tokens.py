@@ -101,7 +101,6 @@ def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(1)
     probs = rng.random((len(known) + 1, 2)) * 1e-3
     m = language.Model(language.VOCABULARY, ["a", "b"], probs)
-    m.rows  # noqa: B018
     for word in ("the", "ation", "ñu", "☃a"):
         whole_ = "▁" + word
         total = np.zeros(2)
