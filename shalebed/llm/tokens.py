@@ -16,15 +16,24 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
 #: Pieces kept by one Python worker (about 200 bytes each); the cache starts anew when full.
-CACHE = 800_000
+CACHE = 200_000
 _LONGEST = 64
-_ODD_BLANK = re.compile(r"\s | \s|^ | $")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_ASCII_ODD = tuple(x for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f" for x in (c + " ", " " + c))
+_OTHER_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _plain(text: str) -> bool:
+    """Whether each blank of a text stands between two signs that are not white space."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text or any(x in text for x in _ASCII_ODD):
+        return False
+    return text.isascii() or not _OTHER_BLANK.search(text)
 
 
 def resolve(vocabulary: str) -> str:
@@ -45,11 +54,16 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.leads = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         self.kept: dict[str | bytes, bytes] = {}
+        #: id of the sign that stands between pieces encoded in one call; no piece among them holds it
+        (self.bar,) = self.tokenizer.encode("\n" if self.leads else "|", add_special_tokens=False).ids
+        #: ids that end a word, in vocabularies with word ends
+        self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.final[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def pieces(self, text: str) -> list:
         if not self.leads:
             return text.encode().split()
-        parts = _CUT.split(text) if _ODD_BLANK.search(text) else text.split(" ")
+        parts = text.split(" ") if _plain(text) else _CUT.split(text)
         if not text:
             return []
         parts[0] = (parts[0],)  # no blank stands before the first piece
@@ -76,16 +90,33 @@ class Encoder:
         return out
 
     def _learn(self, new: list) -> None:
-        """Encode many pieces in one call: joined, they are cut apart again by where each token starts."""
-        whole = [self._whole(p) for p in new]
-        alone = [self.leads and (isinstance(p, tuple) or " " in p) for p in new]
-        run = [w if self.leads else w + " " for w, one in zip(whole, alone, strict=True) if not one]
-        ends = np.cumsum([len(w) for w in run])
-        e = self.tokenizer.encode("".join(run), add_special_tokens=False)
-        ids, starts = np.array(e.ids, "<i4"), np.array([a for a, _ in e.offsets], np.int64)
-        cuts = iter(np.split(ids, np.searchsorted(starts, ends[:-1])) if run else [])
-        for p, w, one in zip(new, whole, alone, strict=True):
-            self.kept[p] = (np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<i4") if one else next(cuts)).tobytes()
+        """Encode many pieces in few calls: joined, they are cut apart again at ids that can only stand between them."""
+        if self.leads:
+            # with white space of another kind inside, the sign between might join it
+            some = [p for p in new if type(p) is str and len(p.split()) == 1 and p == p.strip()]
+            self._cut(some, "".join([f" {p}\n" for p in some]), lambda ids: np.flatnonzero(ids == self.bar), 1)
+        else:
+            one = [p for p in new if p.isalpha()]  # ASCII letters: one word
+            two = [p for p in new if p[-1:] in b",.;:!?" and p[:-1].isalpha()]  # one word and one sign
+            rest = [p for p in set(new).difference(one, two) if b"|" not in p]
+            self._cut(one, b" ".join(one).decode(), lambda ids: np.flatnonzero(self.final[ids]) + 1, 0)
+            self._cut(two, b" ".join(two).decode(), lambda ids: np.flatnonzero(self.final[ids])[1::2] + 1, 0)
+            self._cut(rest, b" | ".join([*rest, b""]).decode(), lambda ids: np.flatnonzero(ids == self.bar), 1)
+        for p in new:
+            if p not in self.kept:
+                self.kept[p] = self._ids(self._whole(p)).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4")
+
+    def _cut(self, some: list, joined: str, ends: Callable[[np.ndarray], np.ndarray], between: int) -> None:
+        if not some:
+            return
+        ids = self._ids(joined)
+        at = ends(ids)
+        if len(at) == len(some):
+            data, starts = ids.tobytes(), [0, *(4 * (at + between)).tolist()]
+            self.kept.update(zip(some, [data[a:b] for a, b in zip(starts, (4 * at).tolist())]))
 
 
 @lru_cache(4)
