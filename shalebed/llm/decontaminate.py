@@ -19,8 +19,10 @@ are each reported; very long texts are searched whole; empty tables give no rows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from .staging import stage
 from .words import slices
 
 FEATURES = 1 << 15
@@ -36,22 +39,29 @@ RANK = 96
 CHUNK = 32
 #: Expected corpus passages that the directions are fitted on, beside all of the benchmark's.
 SAMPLE = 20_000
+#: Tasks of the fit, whose sample is bounded.
+FIT_TASKS = 8
 #: Weight of the corpus passages in the fit: the directions have to tell items apart first.
 CORPUS_WEIGHT = 0.1
 BLOCK = 4096
+#: Share of an item's words, among its rarest, that must stand in a passage before the subsequence is looked for.
+RARE = 0.4
 COSINE = 0.5
 #: Share of an item's words that must stand in a passage in order, and of its answer.
 LCS = 0.6
 ANSWER = 0.5
+_LOWER = bytes(range(256)).lower()
 _SIGNS = bytes(i for i in range(33, 128) if not chr(i).isalnum())
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return [w for w in (text or b"").lower().translate(None, _SIGNS).split() if w]
+    return (text or b"").translate(_LOWER, _SIGNS).split()
 
 
-def features(docs: list[list[bytes]]) -> np.ndarray:
-    return np.fromiter((h % FEATURES for d in docs for h in map(xxh3_64_intdigest, d)), np.int64)
+def features(docs: list) -> np.ndarray:
+    """The feature of every word of all documents, end to end."""
+    h = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(docs)), np.uint64, sum(map(len, docs)))
+    return (h % np.uint64(FEATURES)).astype(np.int64)
 
 
 def passages(words: list[bytes]) -> list[list[bytes]]:
@@ -59,18 +69,35 @@ def passages(words: list[bytes]) -> list[list[bytes]]:
     return [words[i : i + 2 * CHUNK] for i in range(0, max(1, len(words) - CHUNK), CHUNK)] if words else []
 
 
-def lcs(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence, bit-parallel."""
+def bits(words: list[bytes]) -> dict[bytes, int]:
+    """The places of each word, as the bits of one integer."""
     where: dict[bytes, int] = {}
-    for i, w in enumerate(a):
+    for i, w in enumerate(words):
         where[w] = where.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return where
+
+
+def lcs(where: dict[bytes, int], n: int, b: list[bytes]) -> int:
+    """Length of the longest common subsequence of n words (as :func:`bits`) and ``b``, bit-parallel."""
+    full = (1 << n) - 1
     v = full
     for w in b:
-        if m := where.get(w):
-            u = v & m
+        if w in where:
+            u = v & where[w]
             v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    return n - v.bit_count()
+
+
+def rarest(words: list[bytes], weights: np.ndarray, least: float) -> tuple[set[int], int]:
+    """Features of the item's rarest words, and how many such words a passage must hold.
+
+    A passage with ``least`` of the words in order lacks at most the rest of them, so of
+    any m more words than that rest it holds m. No match is lost.
+    """
+    spare = len(words) - math.ceil(least * len(words))
+    m = min(max(1, int(RARE * len(words))), len(words) - spare)
+    f = features([words])
+    return set(f[np.argsort(-weights[f], kind="stable")[: spare + m]].tolist()), m
 
 
 def answer(words: list[bytes]) -> list[bytes]:
@@ -84,11 +111,12 @@ def answer(words: list[bytes]) -> list[bytes]:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
-        for _, texts in slices(batch.column("text")):
-            for t in texts:
-                if t:
-                    n += 1
-                    df[np.unique(np.fromiter((h % FEATURES for h in map(xxh3_64_intdigest, set(words_of(t)))), np.int64))] += 1
+        for _, texts in slices(batch.column("text"), 1 << 20):
+            held = [set(words_of(t)) for t in texts if t]
+            n += len(held)
+            doc = np.repeat(np.arange(len(held)), [len(ws) for ws in held])
+            # two words of one document may share a feature
+            df += np.bincount(np.unique(doc * FEATURES + features(held)) % FEATURES, minlength=FEATURES)
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["f", "n"])
 
@@ -157,6 +185,8 @@ def fit(corpus: DataFrame, benchmark: DataFrame, rank: int = RANK, sample: int =
     share = min(1.0, sample * CHUNK * 6 / max(1, chars))
     drawn = corpus.where(F.pmod(F.xxhash64(F.lit("svd"), "id"), F.lit(1_000_000)) < int(share * 1_000_000))
     fitted = drawn.select("text", F.lit(CORPUS_WEIGHT).alias("weight")).unionByName(benchmark.select("text", F.lit(1.0).alias("weight")))
+    # written once and met by few tasks: each task of a product gives a matrix, however few passages it has
+    fitted = stage(fitted, "svd-passages").coalesce(FIT_TASKS)
     x = np.random.default_rng(7).standard_normal((FEATURES, rank + 8))
     for _ in range(rounds):
         x, _ = np.linalg.qr(x)
@@ -173,30 +203,57 @@ def fit(corpus: DataFrame, benchmark: DataFrame, rank: int = RANK, sample: int =
 # --- search --------------------------------------------------------------------------------
 
 
+def by_chunks(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of texts of these sizes as rows of ``CHUNK``, filled up with ``FEATURES``; the text of each row."""
+    n = -(-size // CHUNK)
+    out = np.full(int(n.sum()) * CHUNK, FEATURES)
+    out[np.arange(len(flat)) + np.repeat((np.cumsum(n) - n) * CHUNK - (np.cumsum(size) - size), size)] = flat
+    return out.reshape(-1, CHUNK), np.repeat(np.arange(len(size)), n)
+
+
+def hits(chunks: np.ndarray, items: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """How many words of each chunk have a feature of each of n items; items[first[f] : first[f + 1]] have feature f."""
+    many = np.diff(first)[chunks]
+    at, col = np.nonzero(many)
+    m = many[at, col]
+    inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+    which = items[np.repeat(first[chunks[at, col]], m) + inner]
+    return np.bincount(np.repeat(at, m) * n + which, minlength=len(chunks) * n).reshape(len(chunks), n)
+
+
 def _search(shared, cosine: float, least: float, least_answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, items = shared.value
         queries = [(i, p) for i, (_, ws) in enumerate(items) for p in passages(ws)]
         q = space.project([p for _, p in queries]).T.copy()
-        owner = np.array([i for i, _ in queries])
-        ends = [answer(ws) for _, ws in items]
+        owner = np.array([i for i, _ in queries], np.int64)
+        whole, ends = [bits(ws) for _, ws in items], [bits(answer(ws)) for _, ws in items]
+        found = [rarest(ws, space.idf, least) for _, ws in items]
+        need = np.array([m for _, m in found], np.int64)
+        rare = np.array([(f, i) for i, (fs, _) in enumerate(found) for f in sorted(fs)], np.int64).reshape(-1, 2)
+        rare = rare[np.argsort(rare[:, 0], kind="stable")]
+        starts = np.searchsorted(rare[:, 0], np.arange(FEATURES + 2))
+        filled = np.concatenate([space.directions, np.zeros((1, space.directions.shape[1]), np.float32)])
+        reach = -(-max((len(ws) for _, ws in items), default=0) // CHUNK)
         for batch in batches:
             rows = []
-            for start, texts in slices(batch.column("text"), 1 << 20):
+            for start, texts in slices(batch.column("text"), max(1 << 16, (1 << 20) * 512 // max(512, len(queries)))):
                 docs = [words_of(t) for t in texts]
-                n = np.array([-(-len(d) // CHUNK) for d in docs])
-                if not n.sum():
+                chunks, doc = by_chunks(features(docs), np.array([len(d) for d in docs]))
+                if not len(chunks) or not queries:
                     continue
-                off = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-                at = np.concatenate([np.arange(off[i], off[i + 1], CHUNK) for i in range(len(docs)) if n[i]])
-                chunk = np.add.reduceat(space.directions[features(docs)], at)
-                doc = np.repeat(np.arange(len(docs)), n)
+                chunk = np.concatenate([filled[chunks[i : i + 512]].sum(1) for i in range(0, len(chunks), 512)])
+                first = np.searchsorted(doc, np.arange(len(docs)))
                 both = chunk.copy()
                 both[:-1][doc[1:] == doc[:-1]] += chunk[1:][doc[1:] == doc[:-1]]
-                first = np.concatenate([[0], np.cumsum(n)])
                 # a passage of two chunks, and each chunk alone for short items
                 near = np.maximum(unit(both) @ q, unit(chunk) @ q)
-                p, k = np.nonzero(near >= cosine)
+                # rare words of each item by chunk, then within reach of each passage (of neighbouring documents too: a few more)
+                held = hits(chunks, rare[:, 1], starts, len(items))
+                total = np.concatenate([np.zeros((1, len(items)), np.int64), np.cumsum(held, 0)])
+                c = np.arange(len(doc))
+                held = total[np.minimum(c + 2 + reach, len(doc))] - total[np.maximum(c - reach, 0)]
+                p, k = np.nonzero((near >= cosine) & (held >= need)[:, owner])
                 seen = set()
                 for c, j in sorted(zip(p.tolist(), k.tolist(), strict=True), key=lambda x: -near[x[0], x[1]]):
                     d, i = int(doc[c]), int(owner[j])
@@ -204,8 +261,8 @@ def _search(shared, cosine: float, least: float, least_answer: float):
                         continue
                     words, lo = items[i][1], CHUNK * (c - int(first[d]))
                     span = docs[d][max(0, lo - len(words)) : lo + 2 * CHUNK + len(words)]
-                    same = lcs(words, span)
-                    if same >= least * len(words) and lcs(ends[i], span) >= least_answer * len(ends[i]):
+                    same = lcs(whole[i], len(words), span)
+                    if same >= least * len(words) and lcs(ends[i], (m := len(answer(words))), span) >= least_answer * m:
                         seen.add((d, i))
                         rows.append((start + d, items[i][0], float(near[c, j]), same / len(words)))
             cols = list(zip(*rows, strict=True)) or [[]] * 4

@@ -57,7 +57,7 @@ def test_lcs():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-        assert decontaminate.lcs(a, b) == t[-1][-1]
+        assert decontaminate.lcs(decontaminate.bits(a), len(a), b) == t[-1][-1]
 
 
 def test_leaks(spark):
