@@ -45,7 +45,7 @@ FIT_TASKS = 8
 CORPUS_WEIGHT = 0.1
 BLOCK = 4096
 #: Share of an item's words, among its rarest, that must stand in a passage before the subsequence is looked for.
-RARE = 0.4
+RARE = 0.25
 COSINE = 0.5
 #: Share of an item's words that must stand in a passage in order, and of its answer.
 LCS = 0.6
