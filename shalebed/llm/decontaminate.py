@@ -3,9 +3,14 @@
 Passages (64 words, every 32) are TF-IDF vectors over hashed words. Their latent
 directions come from a randomised SVD whose two products with the passage matrix are
 computed by Spark tasks: over all passages of the benchmark and a bounded sample of
-passages of the corpus. Every passage of every document is projected and compared with
-every benchmark passage by cosine; candidates are confirmed by the longest common
-subsequence of their words, and by the answer (an item's last words) being there too.
+passages of the corpus. The rank is fixed while the benchmark grows, so no cosine decides
+what is looked at: candidates are all places of all documents that hold enough of an
+item's rarest words, a sieve that no match can fail. They are confirmed by the longest
+common subsequence of their words, and by the answer (an item's last words) being there
+too; of the places that match, the one nearest to the item by cosine is reported.
+
+A place is a passage of two chunks and as many words as the item has on either side. Of
+all places at the chunks of all documents, those that match are found without exception.
 
 Document frequencies are counted over all documents. The benchmark is the query set: it
 is taken in blocks of ``BLOCK`` items, each of which is sent to the tasks; a block's size
@@ -46,7 +51,6 @@ CORPUS_WEIGHT = 0.1
 BLOCK = 4096
 #: Share of an item's words, among its rarest, that must stand in a passage before the subsequence is looked for.
 RARE = 0.25
-COSINE = 0.5
 #: Share of an item's words that must stand in a passage in order, and of its answer.
 LCS = 0.6
 ANSWER = 0.5
@@ -221,12 +225,12 @@ def hits(chunks: np.ndarray, items: np.ndarray, first: np.ndarray, n: int) -> np
     return np.bincount(np.repeat(at, m) * n + which, minlength=len(chunks) * n).reshape(len(chunks), n)
 
 
-def _search(shared, cosine: float, least: float, least_answer: float):
+def _search(shared, least: float, least_answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, items = shared.value
         queries = [(i, p) for i, (_, ws) in enumerate(items) for p in passages(ws)]
-        q = space.project([p for _, p in queries]).T.copy()
-        owner = np.array([i for i, _ in queries], np.int64)
+        q = space.project([p for _, p in queries])
+        owned = np.searchsorted([i for i, _ in queries], np.arange(len(items) + 1))
         whole, ends = [bits(ws) for _, ws in items], [bits(answer(ws)) for _, ws in items]
         found = [rarest(ws, space.idf, least) for _, ws in items]
         need = np.array([m for _, m in found], np.int64)
@@ -234,7 +238,7 @@ def _search(shared, cosine: float, least: float, least_answer: float):
         rare = rare[np.argsort(rare[:, 0], kind="stable")]
         starts = np.searchsorted(rare[:, 0], np.arange(FEATURES + 2))
         filled = np.concatenate([space.directions, np.zeros((1, space.directions.shape[1]), np.float32)])
-        reach = -(-max((len(ws) for _, ws in items), default=0) // CHUNK)
+        reach = np.array([-(-len(ws) // CHUNK) for _, ws in items], np.int64)
         for batch in batches:
             rows = []
             for start, texts in slices(batch.column("text"), max(1 << 16, (1 << 20) * 512 // max(512, len(queries)))):
@@ -242,36 +246,38 @@ def _search(shared, cosine: float, least: float, least_answer: float):
                 chunks, doc = by_chunks(features(docs), np.array([len(d) for d in docs]))
                 if not len(chunks) or not queries:
                     continue
-                chunk = np.concatenate([filled[chunks[i : i + 512]].sum(1) for i in range(0, len(chunks), 512)])
                 first = np.searchsorted(doc, np.arange(len(docs)))
-                both = chunk.copy()
-                both[:-1][doc[1:] == doc[:-1]] += chunk[1:][doc[1:] == doc[:-1]]
-                # a passage of two chunks, and each chunk alone for short items
-                near = np.maximum(unit(both) @ q, unit(chunk) @ q)
-                # rare words of each item by chunk, then within reach of each passage (of neighbouring documents too: a few more)
-                held = hits(chunks, rare[:, 1], starts, len(items))
-                total = np.concatenate([np.zeros((1, len(items)), np.int64), np.cumsum(held, 0)])
-                c = np.arange(len(doc))
-                held = total[np.minimum(c + 2 + reach, len(doc))] - total[np.maximum(c - reach, 0)]
-                p, k = np.nonzero((near >= cosine) & (held >= need)[:, owner])
-                seen = set()
-                for c, j in sorted(zip(p.tolist(), k.tolist(), strict=True), key=lambda x: -near[x[0], x[1]]):
-                    d, i = int(doc[c]), int(owner[j])
-                    if (d, i) in seen:
-                        continue
-                    words, lo = items[i][1], CHUNK * (c - int(first[d]))
+                # rare words of each item by chunk, then within its reach of each passage (of neighbouring documents too: a few more)
+                total = np.concatenate([np.zeros((1, len(items)), np.int64), np.cumsum(hits(chunks, rare[:, 1], starts, len(items)), 0)])
+                at, places = np.arange(len(doc)), []
+                for r in np.unique(reach):
+                    k = np.flatnonzero(reach == r)
+                    part = total[:, k]
+                    c, j = np.nonzero(part[np.minimum(at + 2 + r, len(doc))] - part[np.maximum(at - r, 0)] >= need[k])
+                    places += zip(c.tolist(), k[j].tolist(), strict=True)
+                best: dict[tuple[int, int], tuple[float, float]] = {}
+                for c, i in places:
+                    d, words = int(doc[c]), items[i][1]
+                    lo = CHUNK * (c - int(first[d]))
                     span = docs[d][max(0, lo - len(words)) : lo + 2 * CHUNK + len(words)]
+                    if sum(map(whole[i].__contains__, span)) < least * len(words):
+                        continue
                     same = lcs(whole[i], len(words), span)
                     if same >= least * len(words) and lcs(ends[i], (m := len(answer(words))), span) >= least_answer * m:
-                        seen.add((d, i))
-                        rows.append((start + d, items[i][0], float(near[c, j]), same / len(words)))
+                        # a passage of two chunks, and its first chunk alone for short items
+                        one = filled[chunks[c]].sum(0)
+                        both = one + filled[chunks[c + 1]].sum(0) if c + 1 < len(doc) and doc[c + 1] == d else one
+                        near = float((unit(np.stack([one, both])) @ q[owned[i] : owned[i + 1]].T).max())
+                        if (d, i) not in best or near > best[d, i][0]:
+                            best[d, i] = near, same / len(words)
+                rows += [(start + d, items[i][0], near, share) for (d, i), (near, share) in best.items()]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(cols[0], pa.int32())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], ["doc_id", "item_id", "cosine", "lcs"])
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE, least: float = LCS, least_answer: float = ANSWER) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LCS, least_answer: float = ANSWER) -> DataFrame:
     """doc_id, item_id, cosine and lcs (share of the item's words) of each document and item found in it."""
     spark = docs.sparkSession
     corpus = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -282,7 +288,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     schema = f"doc_id {kind}, item_id long, cosine double, lcs double"
 
     def searched(items):
-        return corpus.mapInArrow(_search(spark.sparkContext.broadcast((space, items)), cosine, least, least_answer), schema)
+        return corpus.mapInArrow(_search(spark.sparkContext.broadcast((space, items)), least, least_answer), schema)
 
     for r in asked.toLocalIterator():
         if ws := words_of(r["text"].encode()):

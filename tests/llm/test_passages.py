@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from odd import ODD, PROSE, documents
 
 from shalebed.llm import decontaminate, repeats
@@ -81,6 +82,36 @@ def test_leaks(spark):
     assert decontaminate.leaks(documents(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_many_items_against_brute_force(spark, monkeypatch):
+    """Directions that no item shaped, as where items far outnumber them: a cosine by itself would lose some."""
+    directions = np.random.default_rng(3).standard_normal((decontaminate.FEATURES, decontaminate.RANK)).astype(np.float32)
+    monkeypatch.setattr(decontaminate, "fit", lambda corpus, benchmark: decontaminate.Space(decontaminate.idf(corpus.unionByName(benchmark)), directions))
+    rng = random.Random(8)
+    words = [f"w{i}".encode() for i in range(1500)]
+    items = [[rng.choice(words) for _ in range(rng.randrange(10, 20))] for _ in range(200)]
+    docs = []
+    for d in range(60):
+        doc = [rng.choice(words) for _ in range(rng.randrange(200, 260))]
+        item = items[rng.randrange(len(items))]
+        at = rng.randrange(len(doc))
+        doc[at:at] = item if d % 2 else [w for k, w in enumerate(item) if k % 4]
+        docs.append(doc)
+    want = set()
+    for d, doc in enumerate(docs):
+        for lo in range(0, len(doc), decontaminate.CHUNK):
+            near = set(doc[max(0, lo - 20) : lo + 84])
+            for i, item in enumerate(items):
+                n, end = len(item), decontaminate.answer(item)
+                if len(near.intersection(item)) < 0.4 * n:
+                    continue
+                span = doc[max(0, lo - n) : lo + 2 * decontaminate.CHUNK + n]
+                if decontaminate.lcs(decontaminate.bits(item), n, span) >= 0.6 * n and decontaminate.lcs(decontaminate.bits(end), len(end), span) >= 0.5 * len(end):
+                    want.add((d, i))
+    bench = spark.createDataFrame([(i, b" ".join(x).decode()) for i, x in enumerate(items)], "item_id long, text string")
+    got = decontaminate.leaks(documents(spark, [b" ".join(d).decode() for d in docs]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) >= 60
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
