@@ -45,9 +45,9 @@ def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return out
 
 
-def _packer(vocabulary: str, end: int, length: int, with_ids: bool):
+def _packer(vocabulary: str, end: int, length: int, with_ids: bool, special_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(vocabulary), TaskContext.get().partitionId()
+        enc, part = encoder(vocabulary, special_tokens), TaskContext.get().partitionId()
         tail, seen = np.array([end], "<i4").tobytes(), {}
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
@@ -78,15 +78,18 @@ def _packer(vocabulary: str, end: int, length: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, length: int = LENGTH, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, length: int = LENGTH, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", special_tokens: bool = False) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
+
+    ``special_tokens``: strings of special tokens get their ids, as by the library's default, and aren't ordinary text.
+    """
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     kind = docs.select(F.col(id_col).alias("i")).dtypes[0][1]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long" + ", ids array<int>" * with_ids
     # kept, so that the numbers are counted on the pieces that are returned
-    pieces = stage(rows.mapInArrow(_packer(vocabulary, end, length, with_ids), schema), "pieces")
+    pieces = stage(rows.mapInArrow(_packer(vocabulary, end, length, with_ids, special_tokens), schema), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))

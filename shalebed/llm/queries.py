@@ -36,7 +36,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), with_ids=False)
+    return packing.pack(documents(spark, sf_dir), with_ids=False, special_tokens=True)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/staged/token-files-{uuid.uuid4().hex}"
-    token_files.write(documents(spark, sf_dir), path)
+    token_files.write(documents(spark, sf_dir), path, special_tokens=True)
     return token_files.checksums(spark, path)
 
 

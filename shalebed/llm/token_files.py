@@ -28,9 +28,9 @@ END = 1
 SLICE = 512
 
 
-def _encoder(vocabulary: str, end: int):
+def _encoder(vocabulary: str, end: int, special_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        enc, part, at = encoder(vocabulary, special_tokens), TaskContext.get().partitionId(), 0
         tail = np.array([end], "<i4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
@@ -48,14 +48,17 @@ def _encoder(vocabulary: str, end: int):
     return run
 
 
-def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, id_col: str = "doc_id", text_col: str = "text", encoding: str = "delta", row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10) -> None:
-    """Write doc_id, ids, n_tokens, part and at (ids before the row in its part) of every row under ``path``."""
+def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, id_col: str = "doc_id", text_col: str = "text", encoding: str = "delta", row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10, special_tokens: bool = False) -> None:
+    """Write doc_id, ids, n_tokens, part and at (ids before the row in its part) of every row under ``path``.
+
+    ``special_tokens``: strings of special tokens get their ids, as by the library's default, and aren't ordinary text.
+    """
     if encoding not in ("delta", "dictionary"):
         raise ValueError(f"encoding must be delta or dictionary, not {encoding}")
     kind = docs.select(F.col(id_col).alias("i")).dtypes[0][1]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     order = ["_id", F.xxhash64("_text")]
-    ids = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_encoder(vocabulary, end), f"doc_id {kind}, ids array<int>, n_tokens long, part int, at long")
+    ids = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_encoder(vocabulary, end, special_tokens), f"doc_id {kind}, ids array<int>, n_tokens long, part int, at long")
     (
         ids.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "false")

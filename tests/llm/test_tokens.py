@@ -31,6 +31,32 @@ def test_ids_are_those_of_the_tokenizer(vocabulary):
         assert np.frombuffer(x, "<i4").tolist() == whole(vocabulary, t), t
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|endoftext|>z", "<|ENDOFTEXT|> <|endoftext |>"]
+
+
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_tokens_are_those_of_the_library(vocabulary):
+    library = Tokenizer.from_file(tokens.resolve(vocabulary))
+    got = tokens.Encoder(vocabulary, special_tokens=True).encode(TEXTS + SPECIAL)
+    for t, x in zip(TEXTS + SPECIAL, got, strict=True):
+        assert np.frombuffer(x, "<i4").tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_queries_read_special_tokens_as_the_library(spark, tmp_path):
+    import corpus_pipeline
+
+    from shalebed.llm import queries
+
+    docs = documents(spark, SPECIAL)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    ids = {v: [Tokenizer.from_file(tokens.resolve(v)).encode(t, add_special_tokens=False).ids for t in SPECIAL] for v in (packing.VOCABULARY, token_files.VOCABULARY)}
+    want = {i: len(x) + 1 for i, x in enumerate(ids[packing.VOCABULARY])}
+    assert {r.doc_id: r.doc_tokens for r in queries.op5_packing(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.doc_tokens for r in corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()} == want
+    want = {i: zlib.crc32(np.array([*x, token_files.END], "<i4").tobytes()) for i, x in enumerate(ids[token_files.VOCABULARY])}
+    assert {r.doc_id: r.ids_crc32 for r in queries.op8_token_files(spark, str(tmp_path)).collect()} == want
+
+
 ENC = {v: tokens.Encoder(v) for v in ("byte_bpe_50k.json", "word_bpe_49k.json")}
 
 
