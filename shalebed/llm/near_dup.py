@@ -1,56 +1,83 @@
 """Near duplicates: MinHash bands propose, odd sketches sieve, full shingle sets decide.
 
-Documents with the same shingle set are one node. A node has ``BANDS`` x ``ROWS``
-MinHash samples; a band's samples hash to a bucket, and the samples fold into a parity
+Documents with the same shingle set are one node. A node has up to ``SAMPLES`` MinHash
+samples in bands; a band's samples hash to a bucket, and the samples fold into a parity
 bitmap (odd sketch) of 256 bits: two nodes' XOR has few bits if their sets are alike.
-
-Links are found without listing the pairs of a bucket. First each bucket's most
-central member (the one in the fullest buckets), its head, is compared with the others.
-Buckets that then still hold more than one component are looked at again. In those of
-up to ``DENSE`` members, members outside the largest component are compared with every
-member of other components. A larger bucket is dealt into smaller ones by the shingles
-that its members have and its head lacks (:func:`_indexed`), which keeps every link, and
-these are treated in the same way, up to ``LEVELS`` times. So each pair of a bucket is
-compared, or in one component already, or can't be a link; the components are those of
-comparing all pairs. The sieve is part of the join condition.
-
-A pair at the threshold shares no bucket with probability 5e-5, and passes the sieve
-but for 1e-7; both fall quickly above it.
+The shape of the bands and the bits that may differ follow from the threshold
+(:func:`shape`): a pair at the threshold shares no bucket with a probability of at most
+``MISS``, and fails the sieve with one of at most ``SIEVED``; both fall quickly above it.
+
+Links are found without listing the pairs of a bucket. First each bucket's member of
+smallest id, its head, is compared with the others. Buckets that then still hold more
+than one component are looked at again. In those of up to ``DENSE`` members, members
+outside the head's component are compared with every member of other components. A
+larger bucket is dealt into smaller ones by the shingles that its members have and its
+head lacks (:func:`_indexed`), which keeps every link, and these are treated in the same
+way. Each level leaves out the heads of the one before, so this ends; no bucket is ever
+too large. So each pair of a bucket is compared, or in one component already, or can't
+be a link; the components are those of comparing all pairs. The sieve is part of the
+join condition. Components grow from level to level: only new links, between the labels
+that are there already, are followed.
 
 Defined results: a document without words (or a null text) has no shingles and is
 linked with nothing; one with fewer than five words has its whole sequence as its only
-shingle; rows that repeat an id are one node; ties go to the smaller id; very long texts
-are shingled whole; an empty table gives no rows.
+shingle; rows that repeat an id are one node, and rows without an id are each kept with
+their text's links unsought; ties go to the smaller id; very long texts are shingled
+whole; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import Scratch
 from .words import flat_hashes, mixed, rolling, slices, window_starts
+from .workers import alone
 
 SHINGLE = 5
-BANDS, ROWS = 21, 6
+SAMPLES = 126
 SKETCH_WORDS = 4
-#: Bits in which sketches may differ. At 0.85, 33 are expected and more than this has probability 1e-7.
-SIEVE = 60
 THRESHOLD = 85
+#: Probabilities of losing a pair just at the threshold, by the bands and by the sieve.
+MISS, SIEVED = 5e-5, 1e-6
 #: Members up to which a bucket's components are compared pair by pair; larger buckets are dealt into smaller ones first.
-DENSE = 64
-LEVELS = 2
+DENSE = 128
+#: Links up to which components are found in one task.
+ONE_TASK = 1 << 20
 #: Residues of ids by which texts are sieved before they are sent: the bound of that broadcast.
 RESIDUES = 1 << 20
 
-_K = BANDS * ROWS
 _rng = np.random.default_rng(20_240_601)
-_A = _rng.integers(1, 2**63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, _K, dtype=np.uint64)
+_A = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
+
+
+@lru_cache(None)
+def shape(threshold: int) -> tuple[int, int, int]:
+    """(bands, rows of a band, bits in which sketches may differ) for links of ``threshold`` percent."""
+    if not 0 < threshold <= 100:
+        raise ValueError("threshold is a percentage above 0")
+    t = threshold / 100
+    rows = max((r for r in range(1, 17) if (1 - t**r) ** (SAMPLES // r) <= MISS), default=1)
+    bands = SAMPLES // rows
+    n, size = bands * rows, 64 * SKETCH_WORDS
+    # each of the samples that differ turns two bits over; weight[i]: probability of i set bits after that
+    weight, over, bit = np.zeros(size + 1), np.zeros(size + 1), np.arange(size + 1)
+    weight[0] = 1.0
+    for differ in range(n + 1):
+        over += math.comb(n, differ) * (1 - t) ** differ * t ** (n - differ) * weight
+        for _ in range(2):
+            up, down = weight * (size - bit) / size, weight * bit / size
+            weight = np.concatenate([[0], up[:-1]]) + np.concatenate([down[1:], [0]])
+    tail = np.concatenate([np.cumsum(over[::-1])[::-1][1:], [0]])
+    return bands, rows, int(np.argmax(tail <= SIEVED))
 
 
 def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,19 +99,19 @@ def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]).astype(np.int64)
 
 
-def signatures(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, off: np.ndarray, n_bands: int, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(two set digests, bands, sketch words) of the non-empty sets, in order."""
     full = np.flatnonzero(np.diff(off))
     at = off[:-1][full]
     if not len(full):
-        return np.zeros((0, 2), np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros((0, SKETCH_WORDS), np.uint64)
+        return np.zeros((0, 2), np.uint64), np.zeros((0, n_bands), np.uint64), np.zeros((0, SKETCH_WORDS), np.uint64)
     digest = np.stack([mixed(np.add.reduceat(mixed(h), at)), mixed(np.add.reduceat(mixed(h ^ np.uint64(0xABCDEF)), at))], 1)
-    bands = np.zeros((len(full), BANDS), np.uint64)
+    bands = np.zeros((len(full), n_bands), np.uint64)
     sketch = np.zeros((len(full), SKETCH_WORDS), np.uint64)
     rows = np.arange(len(full))
-    for k in range(_K):
+    for k in range(n_bands * n_rows):
         low = mixed(np.minimum.reduceat(h * _A[k] + _B[k], at) + np.uint64(k))
-        bands[:, k // ROWS] = mixed(bands[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + low)
+        bands[:, k // n_rows] = mixed(bands[:, k // n_rows] * np.uint64(0x9E3779B97F4A7C15) + low)
         bit = low >> np.uint64(56)
         sketch[rows, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
     return digest, bands, sketch
@@ -94,38 +121,44 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start, texts in slices(batch.column("_text")):
-            h, off = shingle_sets(texts)
-            n = np.diff(off)
-            digest, bands, sketch = signatures(h, off)
-            where = np.cumsum(n > 0) - 1
-            take = pa.array(where, mask=n == 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), _long(bands.ravel()))
-            cols = [_long(digest[:, 0]), _long(digest[:, 1]), lists, *(_long(sketch[:, i]) for i in range(SKETCH_WORDS))]
-            ids = batch.column("_id").slice(start, len(texts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), *(c.take(take) for c in cols)], ["doc_id", "n_shingles", "d0", "d1", "bands", *_S])
+def _sign(n_bands: int, n_rows: int):
+    @alone("near_dup")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in slices(batch.column("_text")):
+                h, off = shingle_sets(texts)
+                n = np.diff(off)
+                digest, bands, sketch = signatures(h, off, n_bands, n_rows)
+                where = np.cumsum(n > 0) - 1
+                take = pa.array(where, mask=n == 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * n_bands, pa.int32()), _long(bands.ravel()))
+                cols = [_long(digest[:, 0]), _long(digest[:, 1]), lists, *(_long(sketch[:, i]) for i in range(SKETCH_WORDS))]
+                ids = batch.column("_id").slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), *(c.take(take) for c in cols)], ["doc_id", "n_shingles", "d0", "d1", "bands", *_S])
+
+    return run
 
 
 _S = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
-def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and, where there are shingles, set digests d0 and d1, bands and sketch words."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(_sign, "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>, " + ", ".join(f"{s} long" for s in _S))
+    return rows.mapInArrow(_sign(*shape(threshold)[:2]), "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>, " + ", ".join(f"{s} long" for s in _S))
 
 
+@alone("near_dup")
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in slices(batch.column("_text")):
             h, off = shingle_sets(texts)
-            ids = batch.column("node").slice(start, len(texts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([h[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["node", "shingles"])
+            some = [batch.column(c).slice(start, len(texts)) for c in ("node", *_S)]
+            yield pa.RecordBatch.from_arrays([*some, pa.array([h[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["node", *_S, "shingles"])
 
 
 def _confirm(threshold: int):
+    @alone("near_dup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -141,7 +174,7 @@ def _confirm(threshold: int):
 
 
 def full_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its shingle hashes, sorted, as bytes, of every node. texts: _id and _text.
+    """node, its sketch words and its shingle hashes (sorted, as bytes) of every node. texts: _id and _text.
 
     Texts whose id has the residue of no node stay where they are; at most ``RESIDUES``
     numbers are broadcast for that, however many nodes there are.
@@ -149,7 +182,7 @@ def full_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     residue = lambda c: F.pmod(F.xxhash64(c), F.lit(RESIDUES))
     near = texts.join(F.broadcast(nodes.select(residue("node").alias("_r")).distinct()), residue("_id") == F.col("_r"), "left_semi")
     held = near.join(nodes, F.col("_id") == F.col("node")).dropDuplicates(["node"])
-    return stage(held.select("node", "_text").mapInArrow(_sets, "node long, shingles binary"), "near-sets")
+    return held.select("node", *_S, "_text").mapInArrow(_sets, "node long, " + ", ".join(f"{s} long" for s in _S) + ", shingles binary")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -160,101 +193,142 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (a, b: node ids) whose full shingle sets are alike enough."""
-    return stage(_with_sets(pairs, sets).select("a", "b", "x", "y").mapInArrow(_confirm(threshold), "a long, b long"), "near-links")
+    return _with_sets(pairs, sets).select("a", "b", "x", "y").mapInArrow(_confirm(threshold), "a long, b long")
+
+
+# --- components ----------------------------------------------------------------------------
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and comp of all links of one task."""
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if not held:
+        return
+    a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        now = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(now, a, least)
+        np.minimum.at(now, b, least)
+        now = np.minimum(now, now[now])
+        if (now == label).all():
+            break
+        label = now
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "comp"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, comp (smallest node reachable) of every node of ``links`` (a, b), by minima of neighbours and pointer jumps."""
-    both = stage(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges")
-    comp = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), "near-comp")
+def components(links: DataFrame, n: int, scratch: Scratch, one_task: int = ONE_TASK) -> DataFrame:
+    """node, comp (smallest node reachable) of every node of ``links`` (a, b; n rows).
+
+    Up to ``one_task`` links are followed by one task, more by minima of neighbours and pointer jumps.
+    """
+    if n <= one_task:
+        return scratch.stage(links.select("a", "b").coalesce(1).mapInArrow(_joined, "node long, comp long"), "near-comp", kept=True)
+    both = scratch.stage(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges")
+    comp = scratch.stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), "near-comp", kept=True)
     while True:
         near = both.join(comp, both["b"] == comp["node"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("_near"))
         step = comp.join(near, "node").select("node", F.col("comp").alias("_was"), F.least("comp", "_near").alias("_c"))
         jump = comp.select(F.col("node").alias("_c"), F.col("comp").alias("_j"))
-        now = stage(step.join(jump, "_c").select("node", F.least("_c", "_j").alias("comp"), (F.least("_c", "_j") != F.col("_was")).alias("_new")), "near-comp")
+        now = scratch.stage(step.join(jump, "_c").select("node", F.least("_c", "_j").alias("comp"), (F.least("_c", "_j") != F.col("_was")).alias("_new")), "near-comp", kept=True)
         comp = now.select("node", "comp")
-        if now.where("_new").limit(1).count() == 0:
+        if now.where("_new").isEmpty():
             return comp
 
 
+def grown(comp: DataFrame | None, links: DataFrame, scratch: Scratch, one_task: int = ONE_TASK) -> DataFrame:
+    """``comp`` (node, comp; None if there is none yet) after more links, of which only those between different labels are followed."""
+    if comp is None:
+        return components(links, links.count(), scratch, one_task)
+    for c in ("a", "b"):
+        label = comp.select(F.col("node").alias(c), F.col("comp").alias("_l"))
+        links = links.join(label, c, "left").withColumn(c, F.coalesce("_l", c)).drop("_l")
+    new = scratch.stage(links.where("a <> b").select("a", "b").distinct(), "near-labels")
+    if not (n := new.count()):
+        return comp
+    moved = components(new, n, scratch, one_task)
+    onto = moved.select(F.col("node").alias("comp"), F.col("comp").alias("_to"))
+    kept = comp.join(onto, "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp"))
+    return scratch.stage(kept.unionByName(moved.join(comp, "node", "left_anti")), "near-comp", kept=True)
+
+
+# --- search --------------------------------------------------------------------------------
+
+
 def _apart(a: str, b: str):
     return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _S[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, dense: int = DENSE, one_task: int = ONE_TASK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every row."""
+    scratch = Scratch(docs.sparkSession)
+    sieve = shape(threshold)[2]
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    signed = stage(sign(docs, id_col, text_col), "near-signs")
-    kinds = signed.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _S))
-    kinds = stage(kinds, "near-nodes")
-    sketches = kinds.dropDuplicates(["node"]).select("node", *_S)
-    rows = _shared(kinds.select("node", F.posexplode("bands").alias("i", "band")).select("node", F.xxhash64("i", "band").alias("key")))
-    sets = full_sets(texts, rows.select("node").distinct())
-    links = None
-    for level in range(LEVELS + 1):
-        heads = _heads(rows)
-        pairs = rows.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-        links = _plus(links, confirmed(_sieved(pairs, sketches), sets, threshold))
-        comp = components(links)
-        split = _split(rows, comp, sketches)
-        if level == LEVELS or split.where(F.col("n") > DENSE).isEmpty():
-            links = _plus(links, confirmed(_across(split), sets, threshold))
+    signed = scratch.stage(sign(docs, id_col, text_col, threshold), "near-signs", kept=True)
+    kinds = signed.where("n_shingles > 0 and doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _S))
+    kinds = scratch.stage(kinds, "near-nodes", kept=True)
+    keys = scratch.stage(_shared(kinds.select("node", F.posexplode("bands").alias("i", "band")).select("node", F.xxhash64("i", "band").alias("key"))), "near-keys")
+    sets = scratch.stage(full_sets(texts, kinds.select("node", *_S).join(keys, "node", "left_semi")), "near-sets")
+    sketches = sets.select("node", *_S)
+    comp = links = None
+    while True:
+        rows = scratch.stage(_sketched(keys, sketches, sieve), "near-buckets")
+        star = scratch.stage(confirmed(rows.where("near and node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), sets, threshold), "near-links")
+        comp = grown(comp, star if links is None else star.union(links), scratch, one_task)
+        split = scratch.stage(_split(rows, comp), "near-rest")
+        sizes = {r["big"]: r["count"] for r in split.groupBy((F.col("n") > dense).alias("big")).count().collect()}
+        if not sizes:
             break
-        members = split.where(F.col("n") > DENSE).join(heads, "key").select("head", "node", "comp").distinct()
-        index = stage(_indexed(members, sets, threshold), "near-index")
-        rows = _shared(index.where("not center").select("node", F.xxhash64("head", "x").alias("key")))
-        finer = _split(rows.where(F.col("n") <= DENSE), comp, sketches)
-        pairs = _across(split.where(F.col("n") <= DENSE).unionByName(finer)).union(_by_center(index, sketches)).distinct()
-        links = _plus(links, confirmed(pairs, sets, threshold))
-        rows = rows.where(F.col("n") > DENSE)
-        if rows.isEmpty():
+        pairs = _across(split.where(F.col("n") <= dense), sieve)
+        if True in sizes:
+            index = scratch.stage(_indexed(split.where(F.col("n") > dense).select("head", "node", "comp").distinct(), sets, threshold), "near-index")
+            pairs = pairs.union(_by_center(index, sketches, sieve))
+        links = scratch.stage(confirmed(pairs.distinct(), sets, threshold), "near-links")
+        if True in sizes:
+            keys = scratch.stage(_shared(index.where("not center").select("node", F.xxhash64("head", "x").alias("key"))), "near-keys")
+        if True not in sizes or keys.isEmpty():
+            comp = grown(comp, links, scratch, one_task)
             break
-    comp = components(links)
-    ends = signed.select("doc_id", "n_shingles", "d0", "d1").join(kinds.select("d0", "d1", "node"), ["d0", "d1"], "left").join(comp, "node", "left")
-    out = ends.select("doc_id", "n_shingles", F.coalesce("comp", "node", "doc_id").alias("component_id"))
+    scratch.clear()
+    ends = signed.select("doc_id", "n_shingles", "d0", "d1").join(kinds.select("d0", "d1", "node"), ["d0", "d1"], "left")
+    out = ends.join(comp, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _plus(links: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if links is None else links.union(more)
-
-
 def _shared(rows: DataFrame) -> DataFrame:
-    """key, node and n (members of the key) of the keys with more than one row."""
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return stage(rows.join(full, "key"), "near-buckets")
-
-
-def _heads(rows: DataFrame) -> DataFrame:
-    """The member of each bucket that is in the fullest buckets: the same one for as many buckets of a group as can be."""
-    weight = rows.groupBy("node").agg(F.sum("n").alias("w"))
-    return stage(rows.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("head")), "near-heads")
+    """key, node, n (members of the key) and head (its smallest node) of the keys with more than one row."""
+    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
+    return rows.join(full, "key")
 
 
-def _sieved(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _sketched(keys: DataFrame, sketches: DataFrame, sieve: int) -> DataFrame:
+    """``keys`` with the node's sketch, and near: whether the head's passes the sieve."""
     x, y = sketches.alias("x"), sketches.alias("y")
-    joined = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-    return stage(joined.where(_apart("x", "y") <= SIEVE).select("a", "b"), "near-pairs")
+    joined = keys.alias("k").join(x, F.col("k.node") == F.col("x.node")).join(y, F.col("k.head") == F.col("y.node"))
+    return joined.select("k.*", *(F.col(f"x.{s}") for s in _S), (_apart("x", "y") <= sieve).alias("near"))
 
 
-def _split(rows: DataFrame, comp: DataFrame, sketches: DataFrame) -> DataFrame:
-    """key, n, node, comp, top (the largest component of the key) and sketch, of the keys that hold several components."""
-    placed = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+def _split(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """``rows`` with comp and top (the head's component), of the keys that hold several components."""
+    placed = rows.drop("near").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # one component in all: nothing left to compare in the bucket
-    split = sizes.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "top")
-    return stage(placed.join(split, "key").join(sketches, "node"), "near-rest")
+    split = placed.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("head"), F.col("comp"))).alias("top"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key", "top")
+    return placed.join(split, "key")
 
 
-def _across(split: DataFrame) -> DataFrame:
+def _across(split: DataFrame, sieve: int) -> DataFrame:
     """Pairs of one bucket but different components that pass the sieve."""
     x, y = split.where("comp <> top").alias("x"), split.alias("y")
     apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.node") < F.col("y.node")))
-    found = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & (_apart("x", "y") <= SIEVE))
-    return stage(found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-pairs")
+    found = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & (_apart("x", "y") <= sieve))
+    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def _prefixes(threshold: int):
+    @alone("near_dup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, xs, center, small = [], [], [], []
@@ -296,11 +370,11 @@ def _indexed(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return _with_sets(pairs, sets).select("a", "b", "comp", "own", "x", "y").mapInArrow(_prefixes(threshold), "head long, node long, comp long, own boolean, x long, center boolean, small boolean")
 
 
-def _by_center(index: DataFrame, sketches: DataFrame) -> DataFrame:
+def _by_center(index: DataFrame, sketches: DataFrame, sieve: int) -> DataFrame:
     """Pairs that share a common shingle in the index and may be links by :func:`_indexed`, through the sieve."""
     rows = index.where("center").join(sketches, "node")
     # one of each pair is outside the head's component; the other one is small
     x, y = rows.where("not own").alias("x"), rows.where("small").alias("y")
     may = (F.col("x.comp") != F.col("y.comp")) & (F.col("y.own") | F.col("x.small") & (F.col("x.node") < F.col("y.node")))
-    found = x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.x") == F.col("y.x")) & may & (_apart("x", "y") <= SIEVE))
-    return stage(found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-pairs")
+    found = x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.x") == F.col("y.x")) & may & (_apart("x", "y") <= sieve))
+    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))

@@ -9,24 +9,51 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset (tests, a laptop)."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset on a single machine (tests, a laptop)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shalebed-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a frame over the files.
 
     Unlike a local checkpoint the files outlive any executor, and unlike a cache
     they are never recomputed, so what is read later is what was written.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Staged tables of one run, removed together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stage(self, df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+        """As :func:`stage`; a table that the run's result reads is ``kept`` by :meth:`clear`."""
+        path = fresh_path(self.spark, name)
+        if not kept:
+            self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []

@@ -3,12 +3,13 @@
 import random
 import re
 
+import pytest
 from odd import ODD, PROSE, documents
 
 from shalebed.llm import near_dup
 
 
-def brute(texts, ids):
+def brute(texts, ids, threshold=85):
     sets = []
     for t in texts:
         ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -22,7 +23,7 @@ def brute(texts, ids):
 
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
                 comp[root(i)] = root(j)
     least = {}
     for i in range(len(texts)):
@@ -50,8 +51,40 @@ def test_against_all_pairs(spark):
     assert len({c for _, c in want.values()}) > 20
 
 
-def test_large_buckets_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "DENSE", 4)
+@pytest.mark.parametrize("threshold", [50, 95])
+def test_other_thresholds_against_all_pairs(spark, threshold):
+    rng = random.Random(threshold)
+    texts = list(ODD)
+    for g in range(8):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for _ in range(10):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 6, 8, 10, 12, 14, 16])):
+                copy[rng.randrange(len(copy))] = f"n{rng.random()}"
+            texts.append(" ".join(copy))
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.find(documents(spark, texts, ids=ids), threshold=threshold).collect()}
+    assert got == brute(texts, ids, threshold)
+
+
+@pytest.mark.parametrize("one_task", [near_dup.ONE_TASK, 0])
+def test_components(spark, one_task):
+    rng = random.Random(9)
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(i, i + 1) for i in range(200, 240)]
+    comp = {i: i for i in range(300)}
+    for a, b in pairs * 100:
+        comp[a] = comp[b] = min(comp[a], comp[b])
+    want = {i: comp[i] for p in pairs for i in p}
+    scratch = near_dup.Scratch(spark)
+    first, second = (spark.createDataFrame(x, "a long, b long") for x in (pairs[::2], pairs[1::2]))
+    got = near_dup.grown(near_dup.grown(None, first, scratch, one_task), second, scratch, one_task)
+    assert {r.node: r.comp for r in got.collect()} == want
+    assert got.count() == len(want)
+    assert near_dup.grown(got, second, scratch, one_task) is got
+
+
+def test_large_buckets_against_all_pairs(spark):
     rng = random.Random(5)
     texts = []
     for g in range(3):
@@ -70,7 +103,7 @@ def test_large_buckets_against_all_pairs(spark, monkeypatch):
     ids = list(range(len(texts)))
     rng.shuffle(ids)
     want = brute(texts, ids)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.find(documents(spark, texts, ids=ids)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.find(documents(spark, texts, ids=ids), dense=4, one_task=8).collect()}
     assert got == want
     assert len({c for _, c in want.values()}) > 20
 
@@ -79,3 +112,10 @@ def test_odd_tables(spark):
     assert near_dup.find(documents(spark, [])).count() == 0
     got = near_dup.find(documents(spark, ["a b c", "a b c", None], ids=[4, 4, None])).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (4, 4, True), (4, 4, True)]
+
+
+def test_null_id_and_clashing_names(spark):
+    rows = [(None, "one two three four five six", 1), (7, "one two three four five six", 2), (9, "One two three four five SIX", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_dup.find(docs).collect())
+    assert got == [(-1, -1, True), (7, 7, True), (9, 7, False)]
