@@ -6,13 +6,17 @@ probabilities (forward algorithm); a text's is the product over its words. The
 probabilities are learned by expectation-maximisation from labelled texts, on counts of
 distinct words by language.
 
-Words are lower-cased runs between white space, with the vocabulary's word-start mark in
-front; code points without a piece count as a piece of small fixed probability. Words
-over ``CHUNK`` code points are scored in parts of that length.
+A word is a run of lower-cased code points other than ASCII signs, digits and
+whitespace, with the vocabulary's word-start mark in front; code points without a piece count
+as a piece of small fixed probability. Words of any length are summed over all their
+segmentations, with rescaled probabilities; only for learning are words over ``LEARNT``
+code points cut.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or if
 there is no labelled text; ties go to the language whose name sorts first; very long
-texts are scored whole; repeated rows are scored each; an empty table gives no rows.
+texts and words are scored whole, in bounded memory; repeated rows are scored each; an
+empty table gives no rows; a column of the documents that has the name of a result
+(``lang_pred``, ``score``) gives way to it.
 """
 
 from __future__ import annotations
@@ -32,19 +36,29 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 from .tokens import resolve
+from .workers import alone, caching
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Labelled rows that a model is fitted on, as expected under the hash that draws them.
+#: Labelled rows that a model is fitted on: those of smallest hash.
 SAMPLE = 3000
 ROUNDS = 2
-CHUNK = 32
-#: Words whose scores one Python worker keeps.
-CACHE = 100_000
+#: Longest part of a word that is learned from as one.
+LEARNT = 256
+#: Steps after which probabilities are rescaled.
+SCALED = 16
+#: Code points of words that are scored together; longer ones by themselves, so many at a time.
+TOGETHER = 1 << 16
+#: Words and tokens between blanks, and numbers in their scores, that one Python worker keeps.
+CACHE, CELLS = 500_000, 4_000_000
 #: Characters of text whose words are looked up together (a longer single text is looked up whole).
-SLICE = 1 << 20
+SLICE = 1 << 21
 UNSEEN = 1e-7
 _SMOOTH = 0.05
-_LETTER = re.compile(r"[^\W\d_]")
+_RUNS = re.compile(r"[^\x00-\x60\x7b-\x7f]+").findall
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 @lru_cache(2)
@@ -65,15 +79,16 @@ def automaton(vocabulary: str) -> ahocorasick.Automaton:
     """Finds every piece in a text; a match's value is its index and, in the low eight bits, its length."""
     out = ahocorasick.Automaton()
     for x, i in pieces(vocabulary)[0].items():
-        if len(x) <= CHUNK and "\n" not in x:
+        if "\n" not in x:
             out.add_word(x, i << 8 | len(x))
     out.make_automaton()
     return out
 
 
-def chunks(word: str) -> list[str]:
+def parts(word: str) -> list[str]:
+    """A word, with the mark in front, as it is learned from."""
     word = "▁" + word
-    return [word] if len(word) <= CHUNK else [word[i : i + CHUNK] for i in range(0, len(word), CHUNK)]
+    return [word] if len(word) <= LEARNT else [word[i : i + LEARNT] for i in range(0, len(word), LEARNT)]
 
 
 def arcs(part: str, known: dict[str, int], longest: int) -> list[list[tuple[int, int]]]:
@@ -93,44 +108,118 @@ class Model:
     langs: list[str]
     #: pieces + 1 (unseen, last) rows, a column for each language
     probs: np.ndarray
-    kept: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    #: row of ``rows`` that holds the score of a word, and of a token between blanks
+    words: dict[str, int] = field(default_factory=dict, repr=False)
+    tokens: dict[str, int] = field(default_factory=dict, repr=False)
+    rows: list = field(default_factory=list, repr=False)
 
     def __getstate__(self):
-        return {"vocabulary": self.vocabulary, "langs": self.langs, "probs": self.probs, "kept": {}}
-
-    def learn(self, words: list[str]) -> None:
-        """Keep the log of each word's probability in each language: the forward algorithm, over all words at once.
+        return {"vocabulary": self.vocabulary, "langs": self.langs, "probs": self.probs, "words": {}, "tokens": {}, "rows": []}
+
+    def forget(self) -> None:
+        self.words, self.tokens, self.rows = {}, {}, []
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        """log of each word's probability in each language."""
+        out = np.zeros((len(words), len(self.langs)))
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        held, cells = [], 0
+        for i in order:
+            if len(words[i]) >= TOGETHER:
+                out[i] = self._long("▁" + words[i])
+                continue
+            # all words of a group are padded to its longest one
+            if held and (len(words[i]) + 1) * (len(held) + 1) > TOGETHER:
+                out[held] = self._forward(["▁" + words[k] for k in held])
+                held = []
+            held.append(i)
+        if held:
+            out[held] = self._forward(["▁" + words[k] for k in held])
+        return out
 
-        Step e adds, for every word, the arcs that end at its place e.
-        """
-        parts = [(i, x) for i, w in enumerate(words) for x in chunks(w)]
-        size = np.array([len(x) for _, x in parts], np.int64)
-        begin = np.cumsum(size + 1) - size - 1
-        found = np.fromiter(chain.from_iterable(automaton(self.vocabulary).iter("\n".join([x for _, x in parts]))), np.int64).reshape(-1, 2)
+    def _arcs(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end, length, piece) of all pieces in a text whose line feeds stand between words; -1 for a code point that is none."""
+        found = np.fromiter(chain.from_iterable(automaton(self.vocabulary).iter(text)), np.int64).reshape(-1, 2)
         end, length, piece = found[:, 0] + 1, found[:, 1] & 0xFF, found[:, 1] >> 8
-        # a code point that is no piece by itself is an unseen one
-        alone = np.ones(int(begin[-1] + size[-1]) + 1, bool)
+        alone = np.ones(len(text) + 1, bool)
         alone[end[length == 1]] = False
-        alone[begin] = False
+        alone[0] = False
         unseen = np.flatnonzero(alone)
-        end, length, piece = np.concatenate([end, unseen]), np.concatenate([length, np.ones_like(unseen)]), np.concatenate([piece, np.full_like(unseen, -1)])
+        return np.concatenate([end, unseen]), np.concatenate([length, np.ones_like(unseen)]), np.concatenate([piece, np.full_like(unseen, -1)])
+
+    def _forward(self, words: list[str]) -> np.ndarray:
+        """The forward algorithm over many words at once: step e adds, for every word, the arcs that end at its place e."""
+        size = np.array([len(x) for x in words], np.int64)
+        begin = np.cumsum(size + 1) - size - 1
+        end, length, piece = self._arcs("\n".join(words))
         at = np.searchsorted(begin, end - 1, side="right") - 1
         step = end - begin[at]
         order = np.lexsort((at, step))
+        order = order[step[order] <= size[at[order]]]  # line feeds are a step beyond their word
         at, step, length, piece = at[order], step[order], length[order], piece[order]
-        probs = self.probs.astype(np.float64)
-        alpha = np.zeros((int(size.max()) + 1, len(parts), len(self.langs)))
+        probs, longest = self.probs.astype(np.float64), pieces(self.vocabulary)[1]
+        alpha = np.zeros((int(size.max()) + 1, len(words), len(self.langs)))
         alpha[0] = 1.0
-        last = alpha[0].copy()
+        last, logs = alpha[0].copy(), np.zeros_like(alpha[0])
         cut = np.searchsorted(step, np.arange(1, len(alpha) + 1))
         for e in range(1, len(alpha)):
             here = slice(cut[e - 1], cut[e])
             x = alpha[e - length[here], at[here]] * probs[piece[here]]
             first = np.flatnonzero(np.diff(at[here], prepend=-1))
             last[at[here][first]] = alpha[e, at[here][first]] = np.add.reduceat(x, first)
-        got = np.zeros((len(words), len(self.langs)))
-        np.add.at(got, [i for i, _ in parts], np.log(last))
-        self.kept.update(zip(words, got))
+            if e % SCALED == 0 and e + 1 < len(alpha):
+                going = size > e
+                scale = alpha[e, going]
+                logs[going] += np.log(scale)
+                alpha[max(0, e - longest) : e + 1, going] /= scale
+                last[going] = 1.0
+        return logs + np.log(last)
+
+    def _long(self, word: str) -> np.ndarray:
+        """The forward algorithm over one word, ``TOGETHER`` code points at a time."""
+        probs, longest = self.probs.astype(np.float64), pieces(self.vocabulary)[1]
+        alpha, logs = np.ones((1, len(self.langs))), np.zeros(len(self.langs))
+        for lo in range(0, len(word), TOGETHER):
+            back = min(lo, longest - 1)
+            end, length, piece = self._arcs(word[lo - back : lo + TOGETHER])
+            order = np.argsort(end, kind="stable")
+            end, length, piece = end[order], length[order], piece[order]
+            n = min(TOGETHER, len(word) - lo)
+            # alpha ends at ``lo``; arcs from before it begin in its last rows
+            base = len(alpha) - 1
+            alpha = np.concatenate([alpha, np.zeros((n, len(self.langs)))])
+            cut = np.searchsorted(end, np.arange(back + 1, back + n + 2))
+            for e in range(1, n + 1):
+                here = slice(cut[e - 1], cut[e])
+                reach = length[here] <= min(base + e, lo + e)
+                alpha[base + e] = (alpha[base + e - length[here][reach]] * probs[piece[here][reach]]).sum(0)
+                if e % SCALED == 0:
+                    scale = alpha[base + e].copy()
+                    logs += np.log(scale)
+                    alpha[max(0, base + e - longest) : base + e + 1] /= scale
+            alpha = alpha[-longest:].copy()
+        return logs + np.log(alpha[-1])
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Keep the scores of tokens, the sums of those of their words."""
+        cut = [_RUNS(t) for t in tokens]
+        new = list(set().union(*cut).difference(self.words))
+        first = sum(map(len, self.rows))
+        self.rows.append(self.logs(new) if new else np.zeros((0, len(self.langs))))
+        self.words.update(zip(new, range(first, first + len(new)), strict=True))
+        several = []
+        for t, ws in zip(tokens, cut, strict=True):
+            if len(ws) == 1:
+                self.tokens[t] = self.words[ws[0]]
+            else:
+                several.append((t, ws))
+        if several:
+            rows, total, first = np.concatenate(self.rows), np.zeros((len(several), len(self.langs))), first + len(new)
+            for i, (_, ws) in enumerate(several):
+                for w in ws:
+                    total[i] += rows[self.words[w]]
+            self.rows.append(total)
+            self.tokens.update((t, first + i) for i, (t, _) in enumerate(several))
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text, ``SLICE`` characters at a time."""
@@ -144,26 +233,23 @@ class Model:
         return out + self._slice(held)
 
     def _slice(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if not self.langs:
-            return [("und", 0.0)] * len(texts)
-        cut = [t.lower().split() if t and _LETTER.search(t) else [] for t in texts]
-        if len(self.kept) > CACHE:
-            self.kept.clear()
-        new = list(set().union(*cut).difference(self.kept))
-        for i in range(0, len(new), 4096):
-            self.learn(new[i : i + 4096])
-        out = []
-        for ws in cut:
-            if not ws:
-                out.append(("und", 0.0))
-                continue
-            total = np.sum([self.kept[w] for w in ws], axis=0)
-            odds = np.exp(total - total.max())
-            best = int(np.argmax(total))
-            out.append((self.langs[best], float(odds[best] / odds.sum())))
-        for w in new:
-            if len(w) > 2 * CHUNK:
-                del self.kept[w]
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        told = [i for i, t in enumerate(texts) if self.langs and t and has_letter(t)]
+        if not told:
+            return out
+        cut = [texts[i].lower().split() for i in told]
+        if self.rows and len(self.rows[0]) > min(CACHE, CELLS // len(self.langs)):
+            self.forget()
+        self._learn(list(set().union(*cut).difference(self.tokens)))
+        self.rows = [np.concatenate(self.rows)]
+        size = np.array([len(ws) for ws in cut])
+        row = np.fromiter(map(self.tokens.__getitem__, chain.from_iterable(cut)), np.int64, int(size.sum()))
+        total = np.add.reduceat(self.rows[0][row], np.cumsum(size) - size, axis=0)
+        odds = np.exp(total - total.max(axis=1, keepdims=True))
+        best = total.argmax(axis=1)
+        score = odds.max(axis=1) / odds.sum(axis=1)
+        for i, k, x in zip(told, best.tolist(), score.tolist(), strict=True):
+            out[i] = self.langs[k], x
         return out
 
     def text(self, text: str | None) -> tuple[str, float]:
@@ -171,8 +257,7 @@ class Model:
 
     def word(self, word: str) -> np.ndarray:
         """log of the word's probability in each language."""
-        self.learn([word])
-        return self.kept[word]
+        return self.logs([word])[0]
 
 
 def labelled(id_col: str = "doc_id") -> Column:
@@ -184,11 +269,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+@alone("language")
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         by: dict[str, Counter] = {}
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            by.setdefault(lang, Counter()).update((text or "").lower().split())
+            by.setdefault(lang, Counter()).update(_RUNS((text or "").lower()))
         rows = [(lang, w, n) for lang, c in by.items() for w, n in c.items()]
         cols = list(zip(*rows, strict=True)) or [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["lang", "word", "n"])
@@ -197,6 +283,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _expected(model):
     """Expected counts of pieces, by language, over words whose language is known (forward and backward)."""
 
+    @alone("language")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         known, longest = pieces(m.vocabulary)
@@ -207,18 +294,27 @@ def _expected(model):
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
                 at = where[lang]
                 p = cols[at]
-                for part in chunks(word):
+                for part in parts(word):
                     ends = arcs(part, known, longest)
-                    alpha = [1.0] + [0.0] * len(part)
+                    # each step's sum is its scale, so that long parts don't underflow
+                    alpha, scale = [1.0] + [0.0] * len(part), [1.0] * (len(part) + 1)
                     for e, here in enumerate(ends, 1):
-                        alpha[e] = sum(alpha[a] * p[i] for a, i in here)
+                        x = 0.0
+                        for a, i in here:
+                            y = alpha[a] * p[i]
+                            for k in range(a + 1, e):
+                                y /= scale[k]
+                            x += y
+                        scale[e], alpha[e] = x, 1.0
                     beta = [0.0] * len(part) + [1.0]
                     for e in range(len(part), 0, -1):
                         b = beta[e]
                         for a, i in ends[e - 1]:
                             x = p[i] * b
+                            for k in range(a + 1, e + 1):
+                                x /= scale[k]
                             beta[a] += x
-                            got[i, at] += n * alpha[a] * x / alpha[-1]
+                            got[i, at] += n * x
         piece, lang = np.nonzero(got)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(piece, pa.int32()), pa.array(got[piece, lang])], ["l", "p", "n"])
 
@@ -226,15 +322,15 @@ def _expected(model):
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", vocabulary: str = VOCABULARY, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
-    """Fit on rows of ``docs`` with a language, at most ``sample`` of them as expected (all if there are fewer).
+    """Fit on the ``sample`` rows of ``docs`` with a language whose ids' hashes are smallest (all if there are fewer).
 
     To the driver come the languages' names and rounds x languages x pieces numbers.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("_id")).where("text is not null and lang is not null")
-    n = rows.select("lang").count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("sample"), F.col(id_col)).alias("_h")).where("text is not null and lang is not null")
+    most = rows.select("_h").orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
+    if most is not None:
+        rows = rows.where(F.col("_h") <= most)
     counted = rows.select("text", "lang").mapInArrow(_words, "lang string, word string, n long")
     counted = stage(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
@@ -254,20 +350,26 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return model
 
 
-def _predict(model):
+def _predict(model, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
-            got = m.texts(batch.column(batch.num_columns - 1).to_pylist())
-            cols = batch.columns[:-1] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1] + ["lang_pred", "score"])
+        with caching("language", m.forget):
+            for batch in batches:
+                got = m.texts(batch.column(at).to_pylist())
+                cols = batch.columns + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, [f"_{i}" for i in range(len(cols))])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row, lang_pred and score; only the text is looked at."""
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text_"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"{schema}, lang_pred string, score double")
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of every row but those named as ``out``, and the language and score as ``out``; only the text is looked at."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in out]
+    told = dict(docs.dtypes)
+    # the text goes to Python once, and names stay out of the way
+    asked = keep if text_col in keep and told[text_col] == "string" else [*keep, text_col]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rows = docs.select(*(quoted(c).cast("string" if i == len(keep) else told[c]).alias(f"_{i}") for i, c in enumerate(asked)))
+    schema = ", ".join([*(f"_{i} {t}" for i, (_, t) in enumerate(rows.dtypes)), f"_{len(asked)} string", f"_{len(asked) + 1} double"])
+    got = rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), asked.index(text_col)), schema)
+    return got.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), F.col(f"_{len(asked)}").alias(out[0]), F.col(f"_{len(asked) + 1}").alias(out[1]))
