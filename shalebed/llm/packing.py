@@ -2,16 +2,16 @@
 
 A document of n ids (its tokens and the end id) is cut into whole sequences of
 ``LENGTH`` ids and the binary lengths of the rest, largest first. Every piece is a
-sequence by itself, so no sequence holds two documents and none needs padding;
-sequences of equal length form a bucket and have consecutive numbers, bucket by
-bucket, so that batches of one length are ranges of numbers.
+sequence by itself, so no sequence holds two documents and none needs padding.
 
-Numbers come from counts of pieces by task and bucket (at most 11 rows a task), never
-from a sort or a window over the pieces.
+A sequence's number is made of its length's power, the task that cut it and its rank
+among those of that length in the task (7, 24 and 32 bits): numbers are unique, and the
+sequences of one length form a bucket, a range of numbers. So packing is one pass over
+the documents, with no exchange and nothing to count.
 
 Defined results: a null text is empty and is one piece, the end id; repeated rows are
 packed each; a very long text gives as many pieces as it needs; an empty table gives
-no rows; other columns are not read.
+no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,16 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
-from .tokens import encoder
+from .tokens import encoder, spans
+from .workers import caching
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 LENGTH = 1024
-SLICE = 512
 
 
 def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -45,53 +44,43 @@ def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return out
 
 
-def _packer(vocabulary: str, end: int, length: int, with_ids: bool, special_tokens: bool):
+def _packer(vocabulary: str, end: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(vocabulary, special_tokens), TaskContext.get().partitionId()
-        tail, seen = np.array([end], "<i4").tobytes(), {}
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                some = batch.slice(lo, SLICE)
-                doc, start, size, crc, total, rank, ids = [], [], [], [], [], [], []
-                for i, x in enumerate(enc.encode(some.column("_text").to_pylist())):
-                    x += tail
-                    n = len(x) // 4
-                    for a, m in cuts(n, length):
-                        piece = x[4 * a : 4 * (a + m)]
-                        doc.append(i)
-                        start.append(a)
-                        size.append(m)
-                        crc.append(zlib.crc32(piece))
-                        total.append(n)
-                        rank.append(seen.get(m, 0))
-                        seen[m] = rank[-1] + 1
-                        if with_ids:
+        part, tail, seen = TaskContext.get().partitionId(), np.array([end], "<i4").tobytes(), {}
+        if part >> 24:
+            raise ValueError("more tasks than sequence numbers have room for")
+        with caching("tokens", encoder.cache_clear):
+            enc = encoder(vocabulary)
+            for batch in batches:
+                for lo, rows in spans(batch.column("_text")):
+                    some = batch.slice(lo, rows)
+                    doc, start, size, crc, total, number, ids = [], [], [], [], [], [], []
+                    for i, x in enumerate(enc.encode(some.column("_text").to_pylist())):
+                        x += tail
+                        n = len(x) // 4
+                        for a, m in cuts(n, length):
+                            piece = x[4 * a : 4 * (a + m)]
+                            rank = seen.get(m, 0)
+                            seen[m] = rank + 1
+                            doc.append(i)
+                            start.append(a)
+                            size.append(m)
+                            crc.append(zlib.crc32(piece))
+                            total.append(n)
+                            number.append((m.bit_length() - 1) << 56 | part << 32 | rank)
                             ids.append(piece)
-                cols = [some.column("_id").take(pa.array(doc, pa.int32())), *(pa.array(c, pa.int64()) for c in (start, size, crc, total)), pa.array([part] * len(doc), pa.int32()), pa.array(rank, pa.int64())]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"]
-                if with_ids:
                     off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                    cols = [some.column("_id").take(pa.array(doc, pa.int32())), *(pa.array(c, pa.int64()) for c in (start, size, crc, total, number, [0] * len(doc)))]
                     cols.append(pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, length: int = LENGTH, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", special_tokens: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
-
-    ``special_tokens``: strings of special tokens get their ids, as by the library's default, and aren't ordinary text.
-    """
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids."""
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     kind = docs.select(F.col(id_col).alias("i")).dtypes[0][1]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long" + ", ids array<int>" * with_ids
-    # kept, so that the numbers are counted on the pieces that are returned
-    pieces = stage(rows.mapInArrow(_packer(vocabulary, end, length, with_ids, special_tokens), schema), "pieces")
-    counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("length", "part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
-    out = pieces.join(counts, ["length", "part"]).withColumn("sequence_id", F.col("_before") + F.col("rank"))
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), *(["ids"] * with_ids))
+    return rows.mapInArrow(_packer(vocabulary, end, length), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, host_rules, language, licenses, near_dup, packing, pii, repeats, sharding, token_files
-from .staging import shared_dir
+from .staging import fresh_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), with_ids=False, special_tokens=True)
+    return packing.pack(documents(spark, sf_dir)).drop("ids")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +47,8 @@ def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/staged/token-files-{uuid.uuid4().hex}"
-    token_files.write(documents(spark, sf_dir), path, special_tokens=True)
+    path = fresh_path(spark, "token-files")
+    token_files.write(documents(spark, sf_dir), path)
     return token_files.checksums(spark, path)
 
 

@@ -7,7 +7,8 @@ among all ids.
 
 Defined results: a null text is empty and yields the end id alone; null ids come first;
 rows that repeat an id lie in the order of their texts' hashes; an empty table gives
-an empty set of files; other columns are not written.
+an empty set of files; very long texts are written whole; other columns, whatever their
+names, are not written.
 """
 
 from __future__ import annotations
@@ -21,44 +22,44 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tokens import encoder
+from .tokens import encoder, spans
+from .workers import caching
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-SLICE = 512
+#: Parts whose offsets are added up together.
+BLOCK = 1024
 
 
-def _encoder(vocabulary: str, end: int, special_tokens: bool):
+def _encoder(vocabulary: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, at = encoder(vocabulary, special_tokens), TaskContext.get().partitionId(), 0
-        tail = np.array([end], "<i4").tobytes()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                some = batch.slice(lo, SLICE)
-                ids = [x + tail for x in enc.encode(some.column("_text").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                off = np.concatenate([[0], np.cumsum(n)])
-                lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("_id"), lists, pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(at + off[:-1])],
-                    ["doc_id", "ids", "n_tokens", "part", "at"],
-                )
-                at += int(off[-1])
+        part, at, tail = TaskContext.get().partitionId(), 0, np.array([end], "<i4").tobytes()
+        with caching("tokens", encoder.cache_clear):
+            enc = encoder(vocabulary)
+            for batch in batches:
+                for lo, rows in spans(batch.column("_text")):
+                    some = batch.slice(lo, rows)
+                    ids = [x + tail for x in enc.encode(some.column("_text").to_pylist())]
+                    n = np.array([len(x) // 4 for x in ids], np.int64)
+                    off = np.concatenate([[0], np.cumsum(n)])
+                    lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column("_id"), lists, pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(at + off[:-1])],
+                        ["doc_id", "ids", "n_tokens", "part", "at"],
+                    )
+                    at += int(off[-1])
 
     return run
 
 
-def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, id_col: str = "doc_id", text_col: str = "text", encoding: str = "delta", row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10, special_tokens: bool = False) -> None:
-    """Write doc_id, ids, n_tokens, part and at (ids before the row in its part) of every row under ``path``.
-
-    ``special_tokens``: strings of special tokens get their ids, as by the library's default, and aren't ordinary text.
-    """
+def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, id_col: str = "doc_id", text_col: str = "text", encoding: str = "delta", row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10) -> None:
+    """Write doc_id, ids, n_tokens, part and at (ids before the row in its part) of every row under ``path``."""
     if encoding not in ("delta", "dictionary"):
         raise ValueError(f"encoding must be delta or dictionary, not {encoding}")
     kind = docs.select(F.col(id_col).alias("i")).dtypes[0][1]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     order = ["_id", F.xxhash64("_text")]
-    ids = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_encoder(vocabulary, end, special_tokens), f"doc_id {kind}, ids array<int>, n_tokens long, part int, at long")
+    ids = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_encoder(vocabulary, end), f"doc_id {kind}, ids array<int>, n_tokens long, part int, at long")
     (
         ids.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "false")
@@ -74,10 +75,13 @@ def index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _started(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    parts = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("_n"))
-    # one row a part; grows with the partitions of the write, not with the rows
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(parts.select("part", before.alias("_before")), "part").withColumn("start", F.col("_before") + F.col("at")).drop("_before")
+    parts = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("_n")).withColumn("_b", F.floor(F.col("part") / BLOCK))
+    # sums over blocks of parts, then over the parts of each block: no window meets more than a block's share of the parts
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = parts.groupBy("_b").agg(F.sum("_n").alias("_n")).select("_b", earlier(Window.orderBy("_b")).alias("_block"))
+    inside = parts.select("part", "_b", earlier(Window.partitionBy("_b").orderBy("part")).alias("_inside"))
+    before = inside.join(blocks, "_b").select("part", (F.col("_block") + F.col("_inside")).alias("_before"))
+    return rows.join(before, "part").withColumn("start", F.col("_before") + F.col("at")).drop("_before")
 
 
 def read(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:

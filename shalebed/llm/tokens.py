@@ -1,39 +1,65 @@
 """Token ids of whole texts by a public tokenizer, from a cache of pieces.
 
-``tokenizers`` splits a text before it merges bytes, and never merges across those
-splits; so a text may be cut where a split is certain, each piece encoded once, and its
-ids kept. Where a piece is cut:
-
-* byte-level vocabularies: before a single blank between two signs that are not white
-  space (the split rule always begins a new piece at such a blank);
-* vocabularies that drop white space: at every run of ASCII white space.
-
-The ids are those of ``encode(text, add_special_tokens=False)``. With ``special_tokens``
-they are the library's for the file as it is: a text that holds the string of a special
-token is encoded whole by an untouched tokenizer. Without, such strings are ordinary
-text. The tests compare both.
+The ids are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``
+with the file as it is. ``tokenizers`` splits a text before it merges, and never merges
+across those splits; so a text may be cut where a split is certain, each piece encoded
+once by the library, and its ids kept. A text is cut twice:
+
+* at blanks: byte-level vocabularies before a single blank between two signs that are
+  not whitespace (the split rule always begins a new piece there), vocabularies that
+  drop whitespace at every run of ASCII whitespace;
+* pieces that are new are cut by the split rule itself into units, if all of their code
+  points are of blocks whose classes all versions of Unicode agree on, and the units that
+  are new are merged by the file's model, many in one call. Other pieces are encoded
+  whole by the library.
+
+A text that holds the string of a special token is encoded whole by the library, and so
+are all texts of a file whose normaliser or split rule is none of the two known here.
+
+Defined results: a null or empty text has no ids; very long texts are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
-#: Pieces kept by one Python worker (about 200 bytes each); the cache starts anew when full.
-CACHE = 200_000
+#: Pieces, and units of pieces, of one generation; a Python worker keeps two of each (about 200 bytes an entry).
+PIECES, UNITS = 300_000, 200_000
 _LONGEST = 64
+#: Whitespace other than one blank or line feed in front and single line feeds inside, between NUL signs: such pieces are not encoded with others.
+_ODD = r"(?<!\0) |\n[\n\0]|(?<=\0 )\n"
+_SEPARATORS = re.compile("[\x1c-\x1f]").search
+_CONTROLS = re.compile("[\t\v\f\r\x1c-\x1f]").search
+_NO_LINES = re.compile("\n\n|[\t\v\f\r\x1c-\x1f]").search
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ASCII_ODD = tuple(x for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f" for x in (c + " ", " " + c))
-_OTHER_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_OTHER_BLANK = re.compile("[\x85\xa0  -     　]")
+
+# The split rule of byte-level vocabularies, and the parts of the file of those with word ends.
+_BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_NORMAL = ["NFC", "Replace", "Lowercase"]
+
+#: Latin, Greek without sigma (whose small form depends on its place), Cyrillic, kana, Han, Hangul: normalised and assigned for good.
+_SETTLED = r"\xa1-˿Α-ΡΤ-ρτ-ωЀ-ҁҊ-ԯぁ-ゖァ-ヺ一-龥가-힣"
+#: Signs that a byte-level vocabulary writes as themselves; the other bytes are written from U+0100 on, in order.
+_AS_IS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_WRITTEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _AS_IS)}
+_BAR = chr(_WRITTEN[10])
 
 
 def _plain(text: str) -> bool:
-    """Whether each blank of a text stands between two signs that are not white space."""
-    if text[:1] == " " or text[-1:] == " " or "  " in text or any(x in text for x in _ASCII_ODD):
+    """Whether each blank of a text stands between two signs that are not whitespace."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or _CONTROLS(text) and any(x in text for x in _ASCII_ODD):
         return False
     return text.isascii() or not _OTHER_BLANK.search(text)
 
@@ -48,89 +74,159 @@ def resolve(vocabulary: str) -> str:
 
 
 class Encoder:
-    def __init__(self, vocabulary: str, special_tokens: bool = False):
-        from tokenizers import Tokenizer
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        path = resolve(vocabulary)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.untouched, self.special = None, None
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        if special_tokens and added:
-            self.untouched = Tokenizer.from_file(path)
-            # one that is looked for in normalised text can't be told from the text: all texts are encoded whole
-            self.special = re.compile("|".join("" if t.normalized else re.escape(t.content) for t in added))
-        self.tokenizer.encode_special_tokens = True
-        self.leads = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
-        self.kept: dict[str | bytes, bytes] = {}
-        #: id of the sign that stands between pieces encoded in one call; no piece among them holds it
-        (self.bar,) = self.tokenizer.encode("\n" if self.leads else "|", add_special_tokens=False).ids
-        #: ids that end a word, in vocabularies with word ends
-        self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.final[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.tokenizer = t = Tokenizer.from_file(resolve(vocabulary))
+        normal = json.loads(t.normalizer.__getstate__()) if t.normalizer else None
+        split = json.loads(t.pre_tokenizer.__getstate__()) if t.pre_tokenizer else {}
+        steps = split.get("pretokenizers", [{}])
+        self.leads = normal is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+        words = normal is not None and [n["type"] for n in normal.get("normalizers", [])] == _WORD_NORMAL and steps[0].get("pattern") == {"Regex": _WORD_SPLIT} and steps[-1].get("type") == "ByteLevel" and len(steps) == 2
+        added = t.get_added_tokens_decoder().values()
+        # one that is looked for in normalised text can't be told from the text
+        self.whole = not (self.leads or words) or any(a.normalized for a in added)
+        self.special = re.compile("|".join(re.escape(a.content) for a in added)) if added else None
+        # what has been met since the last generation began, and what the one before it met
+        self.kept: dict[str | tuple, bytes] = {}
+        self.older: dict[str | tuple, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        self.older_units: dict[str, bytes] = {}
+        if not self.whole:
+            # a line feed between two pieces is a unit by itself
+            self.find = regex.compile(_BYTE_SPLIT if self.leads else _WORD_SPLIT + r"|\n").findall
+            self.settled = re.compile(("[\x01-\x7f" if self.leads else "[\x21-\x7e") + _SETTLED + "]+").fullmatch
+            self.alone = re.compile((f"{_ODD}|[^\0\n\x20-\x7e" if self.leads else "[^\0\x21-\x7e") + _SETTLED + "]").finditer
+            self.merger = Tokenizer(t.model)
+            self.merger.pre_tokenizer = pre_tokenizers.Split(_BAR, "isolated")
+            #: id of the sign that stands between units merged in one call; no unit among them holds it
+            (self.bar,) = self.merger.encode(_BAR, add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list:
         if not self.leads:
-            return text.encode().split()
-        parts = text.split(" ") if _plain(text) else _CUT.split(text)
-        if not text:
-            return []
+            if _SEPARATORS(text) or not text.isascii() and _OTHER_BLANK.search(text):
+                return [x.decode() for x in text.encode().split()]
+            return text.split()
+        if _plain(text):
+            # a line feed between two signs that are not whitespace is a unit too
+            parts = (text if _NO_LINES(text) else text.replace("\n", " \n")).split(" ")
+        else:
+            parts = _CUT.split(text)
         parts[0] = (parts[0],)  # no blank stands before the first piece
         return parts
 
-    def _whole(self, piece) -> str:
-        if not self.leads:
-            return piece.decode()
-        return piece[0] if isinstance(piece, tuple) else " " + piece
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers. A null text has none."""
-        whole = {i: t for i, t in enumerate(texts) if t and self.special and self.special.search(t)}
-        cut = [self.pieces(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        kept = self.kept
-        if len(kept) > CACHE:
-            kept.clear()
-        todo = list(set().union(*cut).difference(kept))
-        for at in range(0, len(todo), 2048):
-            self._learn(todo[at : at + 2048])
-        out = [b"".join(map(kept.__getitem__, parts)) for parts in cut]
-        for i, t in whole.items():
-            out[i] = np.array(self.untouched.encode(t, add_special_tokens=False).ids, "<i4").tobytes()
-        for p in todo:
-            if len(p) > _LONGEST or isinstance(p, tuple) and len(p[0]) > _LONGEST:
-                del kept[p]
+        apart = {i for i, t in enumerate(texts) if t and (self.whole or self.special and self.special.search(t))}
+        cut = [self.pieces(t) if t and i not in apart else [] for i, t in enumerate(texts)]
+        if len(self.kept) > PIECES:
+            self.kept, self.older = {}, self.kept
+        todo = set().union(*cut).difference(self.kept)
+        if todo:
+            self.kept.update([(p, self.older[p]) for p in todo if p in self.older])
+            todo = todo.difference(self.older)
+            self._learn(todo)
+        get = self.kept.__getitem__
+        out = [b"".join(map(get, parts)) for parts in cut]
+        for i in apart:
+            out[i] = self._ids(texts[i])
+        for p in [p for p in todo if len(p) > _LONGEST or len(p) == 1 and len(p[0]) > _LONGEST]:
+            del self.kept[p]
         return out
 
-    def _learn(self, new: list) -> None:
-        """Encode many pieces in few calls: joined, they are cut apart again at ids that can only stand between them."""
-        if self.leads:
-            # with white space of another kind inside, the sign between might join it
-            some = [p for p in new if type(p) is str and len(p.split()) == 1 and p == p.strip()]
-            self._cut(some, "".join([f" {p}\n" for p in some]), lambda ids: np.flatnonzero(ids == self.bar), 1)
-        else:
-            one = [p for p in new if p.isalpha()]  # ASCII letters: one word
-            two = [p for p in new if p[-1:] in b",.;:!?" and p[:-1].isalpha()]  # one word and one sign
-            rest = [p for p in set(new).difference(one, two) if b"|" not in p]
-            self._cut(one, b" ".join(one).decode(), lambda ids: np.flatnonzero(self.final[ids]) + 1, 0)
-            self._cut(two, b" ".join(two).decode(), lambda ids: np.flatnonzero(self.final[ids])[1::2] + 1, 0)
-            self._cut(rest, b" | ".join([*rest, b""]).decode(), lambda ids: np.flatnonzero(ids == self.bar), 1)
-        for p in new:
-            if p not in self.kept:
-                self.kept[p] = self._ids(self._whole(p)).tobytes()
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4")
-
-    def _cut(self, some: list, joined: str, ends: Callable[[np.ndarray], np.ndarray], between: int) -> None:
-        if not some:
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4").tobytes()
+
+    def _learn(self, new: set) -> None:
+        leads = self.leads
+        first = [p for p in new if type(p) is tuple]
+        bulk = [p for p in new if type(p) is str] if first else list(new)
+        texts = [" " + p if p[:1] != "\n" else p for p in bulk] if leads else bulk[:]
+        bulk += first
+        texts += [p[0] for p in first]
+        # pieces that aren't encoded with others are found in all of them at once
+        joined = "\0".join(["", *texts, ""])
+        apart = [m.start() for m in self.alone(joined)]
+        if apart or joined.count("\0") != len(texts) + 1:
+            if joined.count("\0") != len(texts) + 1:
+                odd = [i for i, t in enumerate(texts) if "\0" in t or next(self.alone(f"\0{t}\0"), None)]
+            else:
+                odd = np.unique(np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), apart, side="right")).tolist()
+            for i in odd:
+                t = texts[i]
+                self.kept[bulk[i]] = self._joined(self.find(t)) if leads and self.settled(t) else self._ids(t)
+            gone = set(odd)
+            bulk = [p for i, p in enumerate(bulk) if i not in gone]
+            texts = [t for i, t in enumerate(texts) if i not in gone]
+        if not bulk:
             return
-        ids = self._ids(joined)
-        at = ends(ids)
-        if len(at) == len(some):
-            data, starts = ids.tobytes(), [0, *(4 * (at + between)).tolist()]
-            self.kept.update(zip(some, [data[a:b] for a, b in zip(starts, (4 * at).tolist())]))
+        text = "\n".join([*texts, ""])
+        data = self._joined(self.find(text if leads else text.lower()), np.array([self.bar], "<i4").tobytes())
+        bars = np.flatnonzero(np.frombuffer(data, "<i4") == self.bar)
+        # line feeds inside a piece are units too, and have the same id as those between pieces
+        last = np.cumsum([t.count("\n") + 1 for t in texts])
+        if len(bars) != last[-1]:
+            raise AssertionError("a line feed was not a unit by itself")
+        ends = 4 * bars[last - 1]
+        self.kept.update(zip(bulk, [data[a:b] for a, b in zip([0, *(ends + 4).tolist()], ends.tolist())], strict=False))
+
+    def _joined(self, units: list[str], line: bytes | None = None) -> bytes:
+        """The ids of all units; ``line``: what stands for a line feed."""
+        if len(self.units) > UNITS:
+            self.units, self.older_units = {}, self.units
+        todo = set(units).difference(self.units)
+        if line:
+            todo.discard("\n")
+        self.units.update([(u, self.older_units[u]) for u in todo if u in self.older_units])
+        todo = todo.difference(self.older_units)
+        self._merge(list(todo))
+        if line:
+            self.units["\n"] = line
+        out = b"".join(map(self.units.__getitem__, units))
+        if line:
+            del self.units["\n"]
+        for u in todo:
+            if len(u) > _LONGEST:
+                del self.units[u]
+        return out
+
+    def _merge(self, new: list[str]) -> None:
+        lines = [u for u in new if "\n" in u]
+        some = [u for u in new if "\n" not in u] if lines else new
+        for u in lines:
+            self.units[u] = self._ids(u)
+        some.sort(key=str.isascii)
+        for at in range(0, len(some), 256):
+            part = some[at : at + 256]
+            written = "\n".join([*part, ""])
+            if written.isascii() and written.replace("\n", "").isprintable():
+                written = written.replace(" ", chr(_WRITTEN[32])).replace("\n", _BAR)
+            else:
+                written = written.encode().decode("latin-1").translate(_WRITTEN)
+            ids = np.array(self.merger.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<i4")
+            ends = 4 * np.flatnonzero(ids == self.bar)
+            data = ids.tobytes()
+            self.units.update(zip(part, [data[a:b] for a, b in zip([0, *(ends + 4).tolist()], ends.tolist())], strict=True))
 
 
 @lru_cache(4)
-def encoder(vocabulary: str, special_tokens: bool = False) -> Encoder:
-    return Encoder(vocabulary, special_tokens)
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
+
+
+#: Rows and bytes of text that are encoded together (a longer single text is encoded by itself).
+ROWS, BYTES = 2048, 4 << 20
+
+
+def spans(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of consecutive runs of texts of bounded size."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and (held + n > BYTES or i - first == ROWS):
+            yield first, i - first
+            first, held = i, 0
+        held += n
+    if len(sizes):
+        yield first, len(sizes) - first

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import zlib
 
 import numpy as np
@@ -19,9 +20,10 @@ TEXTS = [
 
 
 def whole(vocabulary, text):
-    t = Tokenizer.from_file(tokens.resolve(vocabulary))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return LIBRARY[vocabulary].encode(text or "", add_special_tokens=False).ids
+
+
+LIBRARY = {v: Tokenizer.from_file(tokens.resolve(v)) for v in ("byte_bpe_50k.json", "word_bpe_49k.json")}
 
 
 @pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -36,10 +38,40 @@ SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|endoftext|
 
 @pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_special_tokens_are_those_of_the_library(vocabulary):
-    library = Tokenizer.from_file(tokens.resolve(vocabulary))
-    got = tokens.Encoder(vocabulary, special_tokens=True).encode(TEXTS + SPECIAL)
+    got = tokens.Encoder(vocabulary).encode(TEXTS + SPECIAL)
     for t, x in zip(TEXTS + SPECIAL, got, strict=True):
-        assert np.frombuffer(x, "<i4").tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+        assert np.frombuffer(x, "<i4").tolist() == whole(vocabulary, t), t
+
+
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_code_point_that_is_cut_by_rule(vocabulary):
+    e = tokens.Encoder(vocabulary)
+    points = [c for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x20000)]) if e.settled(c)]
+    assert len(points) > 30_000
+    texts = [f"{c} a{c}b 1{c}2 .{c}{c}. {c}" for c in points]
+    want = LIBRARY[vocabulary].encode_batch_fast(texts, add_special_tokens=False)
+    assert [x for x, w, g in zip(points, want, e.encode(texts), strict=True) if np.array(w.ids, "<i4").tobytes() != g] == []
+
+
+def test_small_caches_give_the_same(monkeypatch):
+    monkeypatch.setattr(tokens, "PIECES", 10)
+    monkeypatch.setattr(tokens, "UNITS", 5)
+    for v in LIBRARY:
+        e = tokens.Encoder(v)
+        for _ in range(2):
+            for i in range(0, len(TEXTS), 3):
+                for t, x in zip(TEXTS[i : i + 3], e.encode(TEXTS[i : i + 3]), strict=True):
+                    assert np.frombuffer(x, "<i4").tolist() == whole(v, t)
+
+
+def test_an_unknown_file_is_encoded_whole(tmp_path):
+    t = Tokenizer.from_file(tokens.resolve("byte_bpe_50k.json"))
+    from tokenizers import normalizers
+
+    t.normalizer = normalizers.Lowercase()
+    t.save(str(tmp_path / "own.json"))
+    e = tokens.Encoder(str(tmp_path / "own.json"))
+    assert e.whole and [np.frombuffer(x, "<i4").tolist() for x in e.encode(TEXTS)] == [t.encode(x or "", add_special_tokens=False).ids for x in TEXTS]
 
 
 def test_queries_read_special_tokens_as_the_library(spark, tmp_path):
@@ -64,7 +96,7 @@ ENC = {v: tokens.Encoder(v) for v in ("byte_bpe_50k.json", "word_bpe_49k.json")}
 @given(st.lists(st.sampled_from(["a", "Ab", " ", "  ", "\n", "'s", "1", "é", "́", "!", " ", "\x1c", "\0", "ﬁ", "Σ"]), max_size=12).map("".join))
 def test_ids_of_any_mix(text):
     for v, e in ENC.items():
-        assert np.frombuffer(e.encode([text])[0], "<i4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(e.encode([text])[0], "<i4").tolist() == whole(v, text)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 1023, 1024, 1025, 5000])
@@ -86,10 +118,10 @@ def test_packing(spark):
         assert [x for r in rows for x in r.ids] == [*whole(packing.VOCABULARY, t), 0]
         assert {r.doc_tokens for r in rows} == {len(whole(packing.VOCABULARY, t)) + 1}
     order = sorted(got, key=lambda r: r.sequence_id)
-    assert [r.sequence_id for r in order] == list(range(len(got)))
-    assert [r.length for r in order] == sorted((r.length for r in got), reverse=True)
+    assert len({r.sequence_id for r in got}) == len(got)
+    assert [r.length for r in order] == sorted(r.length for r in got)
     assert packing.pack(documents(spark, [])).count() == 0
-    assert packing.pack(documents(spark, ["a b", "a b"], ids=[1, 1]), with_ids=False).count() == 4
+    assert packing.pack(documents(spark, ["a b", "a b"], ids=[1, 1])).count() == 4
 
 
 @pytest.mark.parametrize("encoding", ["delta", "dictionary"])
@@ -149,6 +181,7 @@ def test_language(spark):
     model = language.fit(docs)
     assert model.langs == ["en", "fr"]
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, model, ["doc_id", "shard"]).collect()}
+    assert "shard" in language.predict(docs, model, ["doc_id", "shard"]).columns
     assert [got[i][0] for i in range(len(texts))] == ["en", "fr", "en", "fr", "und", "und", "und", "fr", "en", "en"]
     assert all(0 <= s <= 1 and not math.isnan(s) for _, s in got.values())
     none = language.fit(documents(spark, [PROSE], langs=[None]))
@@ -159,3 +192,75 @@ def test_language(spark):
 def test_held_out_rule(spark):
     ids = [r.doc_id for r in documents(spark, ["x"] * 40).where(language.held_out()).collect()]
     assert ids == [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2]
+
+
+def test_no_letter_is_und():
+    known, _ = language.pieces(language.VOCABULARY)
+    m = language.Model(language.VOCABULARY, ["a", "b"], np.full((len(known) + 1, 2), 1e-4))
+    for t in ("½ ②", "ⅷ ² 12", "¿! — “”", "_", "\u0301"):
+        assert m.text(t) == ("und", 0.0), t
+    assert m.text("1é")[0] == "a"  # a tie goes to the first
+
+
+def test_long_words_are_summed_like_short_ones(monkeypatch):
+    known, _ = language.pieces(language.VOCABULARY)
+    m = language.Model(language.VOCABULARY, ["a", "b"], np.random.default_rng(2).random((len(known) + 1, 2)) * 1e-3)
+    words = ["abcde" * 30, "ation" * 7, "日本語テキスト" * 40, "x", "thé" * 33]
+
+    def plain(word):
+        text, longest = "▁" + word, language.pieces(language.VOCABULARY)[1]
+        out = []
+        for lang in range(2):
+            alpha, log = [1.0], 0.0
+            for e in range(1, len(text) + 1):
+                ends = language.arcs(text[:e], known, longest)[-1] if e <= longest else language.arcs(text[e - longest : e], known, longest)[-1]
+                base = max(0, e - longest)
+                alpha.append(sum(alpha[base + a] * m.probs[i, lang] for a, i in ends))
+                top = alpha[-1]
+                alpha, log = [x / top for x in alpha], log + math.log(top)
+            out.append(log)
+        return out
+
+    want = [plain(w) for w in words]
+    assert np.allclose(m.logs(words), want)
+    monkeypatch.setattr(language, "TOGETHER", 48)
+    assert np.allclose(m.logs(words), want)
+
+
+def test_a_word_of_two_million_letters_in_bounded_memory():
+    import resource
+
+    known, _ = language.pieces(language.VOCABULARY)
+    m = language.Model(language.VOCABULARY, ["a", "b"], np.full((len(known) + 1, 2), 1e-4))
+    m.text("warm")
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert m.text("ab" * 1_000_000)[0] == "a"
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 * 1024
+
+
+def test_sample_is_never_empty_and_is_exact(spark):
+    docs = documents(spark, [EN, FR] * 30, langs=["en", "fr"] * 30)
+    assert language.fit(docs, sample=1, rounds=1).langs in (["en"], ["fr"])
+    words = language.fit(docs, sample=60, rounds=1)
+    assert words.langs == ["en", "fr"] and np.isclose(words.probs[:-1].sum(0), 1, atol=1e-3).all()
+
+
+def test_clashing_names(spark):
+    docs = documents(spark, [EN, FR], langs=["en", "fr"])
+    model = language.fit(docs)
+    clash = docs.selectExpr("doc_id", "text", "1 as lang_pred", "2 as `a.b`", "3 as score")
+    assert language.predict(clash, model).columns == ["doc_id", "text", "a.b", "lang_pred", "score"]
+    got = language.predict(clash, model, out=("x", "y")).collect()
+    assert [(r.lang_pred, r["a.b"], r.score, r.x) for r in got] == [(1, 2, 3, "en"), (1, 2, 3, "fr")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_query_is_right_on_held_out_rows(spark):
+    from shalebed.llm import queries
+
+    got = queries.op1_language_id(spark, "/root/testdata/sf0.01")
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    want = {r.doc_id: r.lang for r in queries.documents(spark, "/root/testdata/sf0.01").select("doc_id", "lang").collect()}
+    rows = [r for r in got.collect() if r.held_out and want[r.doc_id] is not None]
+    assert len(rows) > 100 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert sum(r.lang_pred == want[r.doc_id] for r in rows) >= 0.98 * len(rows)
