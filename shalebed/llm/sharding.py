@@ -6,26 +6,32 @@ splitters of that order are found by counting exact bytes below candidate
 boundaries: each round divides every bracket that still holds a splitter into
 ``PROBES`` bins, counts the bytes in each, and keeps the one bin in which the target
 falls, until that bin holds no more than the tolerance or a single key. Only these
-counts reach the driver (at most splitters x PROBES rows a round). Then the rows are
-exchanged once, by range.
+counts reach the driver (at most splitters x PROBES rows a round). Then the rows, texts
+included, are exchanged once, dealt out by the splitters: a shard is one partition, or,
+if it is larger than ``PART_BYTES``, as many as it takes, among which its rows are dealt
+by a hash of their keys, so that a group of copies can't fill one of them.
 
 Defined results: a null text has size 1 and the checksum of no bytes; a null id sorts
 first; rows that repeat both text and id are never told apart, so they share a shard;
-an empty table gives no rows. Other columns, whatever their names, are not touched.
+a very long text is one row and may outweigh a shard; an empty table gives no rows.
+Other columns, whatever their names, are written as they are.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .staging import stage
+from .staging import fresh_path, stage
 
 PROBES = 1024
 #: Bytes by which a splitter may miss its target, as a share of one shard.
 TOLERANCE = 0.001
+#: Bytes of text in one partition of the exchange.
+PART_BYTES = 128 << 20
 _LEAST = -(2**63)
 
 
@@ -39,15 +45,13 @@ class Splitter:
     below: int
 
 
-def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _keys(id_col: str, text_col: str) -> list[Column]:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
+    return [
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("_k"),
         F.xxhash64(text).alias("_h"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
+    ]
 
 
 def splitters(rows: DataFrame, targets: list[int], tolerance: int) -> list[Splitter]:
@@ -105,36 +109,44 @@ def _shard_of(found: list[Splitter]) -> Column:
     return out.cast("int")
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot of every row of ``docs``.
+def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
+    """Write the rows of ``docs`` under ``path``/shard=K/; doc_id, size, text_crc32, shard and slot of every row, as read back.
 
-    Bytes (size: UTF-8 bytes of the text plus 1) of the shards differ by no more than
-    one row and ``tolerance`` of a shard; ``slot`` counts from 0 without gaps in each.
+    Each file row holds the document as the struct ``row``. Bytes (size: UTF-8 bytes of
+    the text plus 1) of the shards differ by no more than one row and ``tolerance`` of a
+    shard; ``slot`` counts from 0 without gaps in each.
     """
-    rows = stage(slim(docs, id_col, text_col), "shard-keys")
+    spark = docs.sparkSession
+    rows = stage(docs.select(*_keys(id_col, text_col)), "shard-keys")
     total = rows.agg(F.sum("size")).first()[0] or 0
     targets = [total * k // shards for k in range(1, shards)]
     found = splitters(rows, sorted(set(targets)), int(total / shards * tolerance)) if total else []
     at = dict(zip(sorted(set(targets)), found))
-    keyed = rows.withColumn("shard", _shard_of([at[t] for t in targets] if total else []))
-    # The one exchange. Written, so that the places below are counted on what is kept.
-    sorted_ = stage(
-        keyed.repartitionByRange("shard", "_h", "_k").sortWithinPartitions("shard", "_h", "_k")
-        .select("doc_id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("_at")),
-        "shard-sorted",
+    parts = max(1, -(-total // shards // PART_BYTES))
+    whole = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")
+    keyed = docs.select(whole, *_keys(id_col, text_col)).withColumn("shard", _shard_of([at[t] for t in targets] if total else []))
+    part = (F.col("shard") * parts + F.pmod(F.xxhash64("_h", "_k"), F.lit(parts))).cast("int")
+    (
+        keyed.repartitionById(shards * parts, part).sortWithinPartitions("_h", "_k")
+        .select("row", "shard", F.monotonically_increasing_id().alias("_at")).write.partitionBy("shard").parquet(path)
     )
+    return read_shards(spark, path, docs, id_col, text_col)
+
+
+def read_shards(spark: SparkSession, path: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of every row under ``path``, whose documents are like ``docs``."""
+    kept = spark.read.schema(StructType([StructField("row", docs.schema), StructField("_at", LongType()), StructField("shard", IntegerType())])).parquet(path)
+    of = lambda c: F.col("row").getField(c)
+    text = F.coalesce(of(text_col), F.lit(""))
     part = F.shiftright("_at", 33).alias("_part")
-    runs = sorted_.groupBy("shard", part).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    # one row for each shard and partition: grows with the partitions, not the rows
+    runs = kept.groupBy("shard", part).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    # one row for each partition of the exchange: grows with the partitions, not the rows
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     runs = runs.select("shard", "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
-    return sorted_.withColumn("_part", part).join(runs, ["shard", "_part"]).select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("_at") + F.col("_shift")).alias("slot"))
+    told = kept.select(of(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "shard", "_at", part)
+    return told.join(runs, ["shard", "_part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("_at") + F.col("_shift")).alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the rows of ``docs`` (ids unique) under ``path``/shard=K/ and return what :func:`shard` gives."""
-    dealt = shard(docs, shards, id_col, text_col)
-    placed = docs.join(dealt.select(F.col("doc_id").alias(id_col), F.col("shard").alias("_shard")), id_col)
-    placed.withColumnRenamed("_shard", "shard").repartition("shard", F.pmod(F.xxhash64(id_col), F.lit(64))).write.partitionBy("shard").parquet(path)
-    return dealt
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
+    """What :func:`write_shards` gives, with the shards in the shared folder."""
+    return write_shards(docs, fresh_path(docs.sparkSession, "shards"), shards, id_col, text_col, tolerance)
