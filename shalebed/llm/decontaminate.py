@@ -7,7 +7,7 @@ passages of the corpus. The rank is fixed while the benchmark grows, so no cosin
 what is looked at: candidates are all places of all documents that hold enough of an
 item's rarest words, a sieve that no match can fail. They are confirmed by the longest
 common subsequence of their words, and by the answer (an item's last words) being there
-too; of the places that match, the one nearest to the item by cosine is reported.
+too, unless most of a long item is; of the places that match, the one nearest to the item by cosine is reported.
 
 A place is a passage of two chunks and as many words as the item has on either side. Of
 all places at the chunks of all documents, those that match are found without exception.
@@ -16,10 +16,12 @@ Document frequencies are counted over all documents. The benchmark is the query
 is taken in blocks of ``BLOCK`` items, each of which is sent to the tasks; a block's size
 is bounded, so any number of items may be asked.
 
-Words are lower-cased (A-Z) runs between ASCII white space, stripped of ASCII signs.
+Words are lower-cased (A-Z) runs between ASCII blanks, stripped of ASCII signs.
 
 Defined results: null or empty texts and items match nothing; repeated rows and items
-are each reported; very long texts are searched whole; empty tables give no rows.
+are each reported; of places that tie in cosine the first counts; very long texts are
+searched whole, in overlapping parts of bounded size; empty tables give no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -38,12 +40,13 @@ from xxhash import xxh3_64_intdigest
 
 from .staging import stage
 from .words import slices
+from .workers import alone
 
 FEATURES = 1 << 15
 RANK = 96
 CHUNK = 32
-#: Expected corpus passages that the directions are fitted on, beside all of the benchmark's.
-SAMPLE = 20_000
+#: Expected corpus passages that the directions are fitted on, beside all of the benchmark's; of ``LEAST_DOCS`` documents at least.
+SAMPLE, LEAST_DOCS = 20_000, 64
 #: Tasks of the fit, whose sample is bounded.
 FIT_TASKS = 8
 #: Weight of the corpus passages in the fit: the directions have to tell items apart first.
@@ -54,6 +57,10 @@ RARE = 0.25
 #: Share of an item's words that must stand in a passage in order, and of its answer.
 LCS = 0.6
 ANSWER = 0.5
+#: Share of an item's words in order from which its answer isn't asked for any more, and words that such an item has at least.
+SURE, SURE_WORDS = 0.75, 20
+#: Chunks x items whose hits are counted together: longer texts are searched in overlapping parts.
+CELLS = 1 << 22
 _LOWER = bytes(range(256)).lower()
 _SIGNS = bytes(i for i in range(33, 128) if not chr(i).isalnum())
 
@@ -112,6 +119,7 @@ def answer(words: list[bytes]) -> list[bytes]:
 # --- document frequencies -----------------------------------------------------------------
 
 
+@alone("decontaminate")
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
@@ -137,7 +145,7 @@ def idf(docs: DataFrame) -> np.ndarray:
 
 
 @dataclass
-class Space:
+class Directions:
     idf: np.ndarray
     #: FEATURES x rank, each row scaled by the feature's idf
     directions: np.ndarray
@@ -160,6 +168,7 @@ _ROWS = 512  # features in one block of a product
 def _product(shared):
     """Blocks of A^T (A X) over the passages of the task's texts."""
 
+    @alone("decontaminate")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, x = shared.value
         got = np.zeros(x.shape)
@@ -181,13 +190,15 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [total.astype(np.float32).tobytes()]})
 
 
-def fit(corpus: DataFrame, benchmark: DataFrame, rank: int = RANK, sample: int = SAMPLE, rounds: int = 2) -> Space:
+def fit(corpus: DataFrame, benchmark: DataFrame, rank: int = RANK, sample: int = SAMPLE, rounds: int = 2) -> Directions:
     """Directions of the passages of ``benchmark`` and a sample of ``corpus`` (columns id, text)."""
     spark = corpus.sparkSession
     weights = idf(corpus.unionByName(benchmark))
     chars = corpus.agg(F.sum(F.length("text"))).first()[0] or 0
     share = min(1.0, sample * CHUNK * 6 / max(1, chars))
-    drawn = corpus.where(F.pmod(F.xxhash64(F.lit("svd"), "id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    hashed = corpus.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit("svd"), "id"), 2))
+    least = hashed.select("_h").orderBy("_h").limit(LEAST_DOCS).agg(F.max("_h")).first()[0]
+    drawn = hashed.where(F.col("_h") <= max(int(share * 2**62), least or 0))
     fitted = drawn.select("text", F.lit(CORPUS_WEIGHT).alias("weight")).unionByName(benchmark.select("text", F.lit(1.0).alias("weight")))
     # written once and met by few tasks: each task of a product gives a matrix, however few passages it has
     fitted = stage(fitted, "svd-passages").coalesce(FIT_TASKS)
@@ -201,7 +212,7 @@ def fit(corpus: DataFrame, benchmark: DataFrame, rank: int = RANK, sample: int =
             y[i * _ROWS : (i + 1) * _ROWS] = np.frombuffer(b, np.float32).reshape(_ROWS, -1)
         x = y
     u, _, _ = np.linalg.svd(x, full_matrices=False)
-    return Space(weights, (u[:, :rank] * weights[:, None]).astype(np.float32))
+    return Directions(weights, (u[:, :rank] * weights[:, None]).astype(np.float32))
 
 
 # --- search --------------------------------------------------------------------------------
@@ -225,53 +236,82 @@ def hits(chunks: np.ndarray, items: np.ndarray, first: np.ndarray, n: int) -> np
     return np.bincount(np.repeat(at, m) * n + which, minlength=len(chunks) * n).reshape(len(chunks), n)
 
 
+def parts(words: list[bytes], most: int, pad: int) -> Iterator[list[bytes]]:
+    """``words`` in parts of up to ``most``, in whole chunks, that overlap by 2 ``pad``: each place lies in one of them with ``pad`` words on both sides."""
+    if len(words) <= most:
+        yield words
+        return
+    step = (most - 2 * pad) // CHUNK * CHUNK
+    for lo in range(0, len(words) - 2 * pad, step):
+        yield words[lo : lo + most]
+
+
 def _search(shared, least: float, least_answer: float):
+    @alone("decontaminate")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, items = shared.value
+        latent, items = shared.value
         queries = [(i, p) for i, (_, ws) in enumerate(items) for p in passages(ws)]
-        q = space.project([p for _, p in queries])
+        q = latent.project([p for _, p in queries])
         owned = np.searchsorted([i for i, _ in queries], np.arange(len(items) + 1))
         whole, ends = [bits(ws) for _, ws in items], [bits(answer(ws)) for _, ws in items]
-        found = [rarest(ws, space.idf, least) for _, ws in items]
+        found = [rarest(ws, latent.idf, least) for _, ws in items]
         need = np.array([m for _, m in found], np.int64)
         rare = np.array([(f, i) for i, (fs, _) in enumerate(found) for f in sorted(fs)], np.int64).reshape(-1, 2)
         rare = rare[np.argsort(rare[:, 0], kind="stable")]
         starts = np.searchsorted(rare[:, 0], np.arange(FEATURES + 2))
-        filled = np.concatenate([space.directions, np.zeros((1, space.directions.shape[1]), np.float32)])
+        filled = np.concatenate([latent.directions, np.zeros((1, latent.directions.shape[1]), np.float32)])
         reach = np.array([-(-len(ws) // CHUNK) for _, ws in items], np.int64)
-        for batch in batches:
-            rows = []
-            for start, texts in slices(batch.column("text"), max(1 << 16, (1 << 20) * 512 // max(512, len(queries)))):
-                docs = [words_of(t) for t in texts]
-                chunks, doc = by_chunks(features(docs), np.array([len(d) for d in docs]))
-                if not len(chunks) or not queries:
+        pad = CHUNK * (int(reach.max(initial=0)) + 2)
+        most = CHUNK * max(4, CELLS // max(1, len(items))) + 2 * pad
+
+        def matched(docs: list[list[bytes]]) -> Iterator[tuple[int, int, float, float]]:
+            """(document, item, cosine, share) of all places that match."""
+            chunks, doc = by_chunks(features(docs), np.array([len(d) for d in docs], np.int64))
+            if not len(chunks):
+                return
+            first = np.searchsorted(doc, np.arange(len(docs)))
+            # rare words of each item by chunk, then within its reach of each passage (of neighbouring documents too: a few more)
+            total = np.concatenate([np.zeros((1, len(items)), np.int64), np.cumsum(hits(chunks, rare[:, 1], starts, len(items)), 0)])
+            at, places = np.arange(len(doc)), []
+            for r in np.unique(reach):
+                k = np.flatnonzero(reach == r)
+                part = total[:, k]
+                c, j = np.nonzero(part[np.minimum(at + 2 + r, len(doc))] - part[np.maximum(at - r, 0)] >= need[k])
+                places += zip(c.tolist(), k[j].tolist(), strict=True)
+            for c, i in places:
+                d, words = int(doc[c]), items[i][1]
+                lo = CHUNK * (c - int(first[d]))
+                span = docs[d][max(0, lo - len(words)) : lo + 2 * CHUNK + len(words)]
+                if sum(map(whole[i].__contains__, span)) < least * len(words):
                     continue
-                first = np.searchsorted(doc, np.arange(len(docs)))
-                # rare words of each item by chunk, then within its reach of each passage (of neighbouring documents too: a few more)
-                total = np.concatenate([np.zeros((1, len(items)), np.int64), np.cumsum(hits(chunks, rare[:, 1], starts, len(items)), 0)])
-                at, places = np.arange(len(doc)), []
-                for r in np.unique(reach):
-                    k = np.flatnonzero(reach == r)
-                    part = total[:, k]
-                    c, j = np.nonzero(part[np.minimum(at + 2 + r, len(doc))] - part[np.maximum(at - r, 0)] >= need[k])
-                    places += zip(c.tolist(), k[j].tolist(), strict=True)
-                best: dict[tuple[int, int], tuple[float, float]] = {}
-                for c, i in places:
-                    d, words = int(doc[c]), items[i][1]
-                    lo = CHUNK * (c - int(first[d]))
-                    span = docs[d][max(0, lo - len(words)) : lo + 2 * CHUNK + len(words)]
-                    if sum(map(whole[i].__contains__, span)) < least * len(words):
-                        continue
-                    same = lcs(whole[i], len(words), span)
-                    if same >= least * len(words) and lcs(ends[i], (m := len(answer(words))), span) >= least_answer * m:
-                        # a passage of two chunks, and its first chunk alone for short items
-                        one = filled[chunks[c]].sum(0)
-                        both = one + filled[chunks[c + 1]].sum(0) if c + 1 < len(doc) and doc[c + 1] == d else one
-                        near = float((unit(np.stack([one, both])) @ q[owned[i] : owned[i + 1]].T).max())
-                        if (d, i) not in best or near > best[d, i][0]:
-                            best[d, i] = near, same / len(words)
-                rows += [(start + d, items[i][0], near, share) for (d, i), (near, share) in best.items()]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
+                same = lcs(whole[i], len(words), span)
+                if same >= least * len(words) and (len(words) >= SURE_WORDS and same >= SURE * len(words) or lcs(ends[i], (m := len(answer(words))), span) >= least_answer * m):
+                    # a passage of two chunks, and its first chunk alone for short items
+                    one = filled[chunks[c]].sum(0)
+                    both = one + filled[chunks[c + 1]].sum(0) if c + 1 < len(doc) and doc[c + 1] == d else one
+                    yield d, i, float((unit(np.stack([one, both])) @ q[owned[i] : owned[i + 1]].T).max()), same / len(words)
+
+        for batch in batches:
+            best: dict[tuple[int, int], tuple[float, float]] = {}
+
+            def search(rows: list[int], held: list[list[bytes]], best=best) -> None:
+                for d, i, near, share in matched(held):
+                    if (rows[d], i) not in best or near > best[rows[d], i][0]:
+                        best[rows[d], i] = near, share
+
+            rows, held, size = [], [], 0
+            for start, texts in slices(batch.column("text"), 1 << 20) if queries else []:
+                for k, t in enumerate(texts):
+                    for part in parts(words_of(t), most, pad):
+                        if held and size + len(part) > most:
+                            search(rows, held)
+                            rows, held, size = [], [], 0
+                        rows.append(start + k)
+                        held.append(part)
+                        size += -(-len(part) // CHUNK) * CHUNK
+            search(rows, held)
+            found = [(r, items[i][0], near, share) for (r, i), (near, share) in sorted(best.items())]
+            cols = list(zip(*found, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(cols[0], pa.int32())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], ["doc_id", "item_id", "cosine", "lcs"])
 
     return run
@@ -283,12 +323,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     corpus = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     asked = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     kind = corpus.dtypes[0][1]
-    space = fit(corpus, asked.select(F.col("id").cast(kind).alias("id"), "text"))
+    latent = fit(corpus, asked.select(F.col("id").cast(kind).alias("id"), "text"))
     out, block = None, []
     schema = f"doc_id {kind}, item_id long, cosine double, lcs double"
 
     def searched(items):
-        return corpus.mapInArrow(_search(spark.sparkContext.broadcast((space, items)), least, least_answer), schema)
+        return corpus.mapInArrow(_search(spark.sparkContext.broadcast((latent, items)), least, least_answer), schema)
 
     for r in asked.toLocalIterator():
         if ws := words_of(r["text"].encode()):

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 from .words import flat_hashes, rolling, slices, window_starts, words
+from .workers import alone
 
 #: A host is rejected if the shrunk rate of one of its rules is above this.
 MOST = 0.5
@@ -62,6 +63,7 @@ def repeated(docs: list[list[bytes]], k: int = 5) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
+@alone("host_rules")
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         chars = pc.fill_null(pc.utf8_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)

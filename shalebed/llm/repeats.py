@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 from .words import flat_hashes, rolling, slices, window_starts, words
+from .workers import alone
 
 WINDOW = 50
 PHRASE = 12
@@ -60,6 +61,7 @@ def minimisers(flat: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+@alone("repeats")
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in slices(batch.column("_text")):
@@ -103,6 +105,7 @@ def located(docs: list[list[bytes]], wanted: list[np.ndarray]) -> tuple[np.ndarr
     return flat, off, ok
 
 
+@alone("repeats")
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hs = batch.column("hs")
@@ -117,6 +120,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("_id").take(take), batch.column("_t").take(take), pa.array((at - off[doc]).astype(np.int32))], ["w", "_id", "_t", "at"])
 
 
+@alone("repeats")
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []

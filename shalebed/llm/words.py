@@ -1,6 +1,6 @@
 """Words and rolling hashes of whole texts, vectorised over slices of an Arrow batch.
 
-A word is a maximal run of bytes other than space, tab, line feed, vertical tab,
+A word is a maximal run of bytes other than blank, tab, line feed, vertical tab,
 form feed and carriage return (``[^\\x20\\x09-\\x0D]+``): just what ``bytes.split()``
 cuts out of UTF-8, since no byte of a longer code point lies below 0x80.
 """

@@ -2,11 +2,16 @@
 
 import hashlib
 import random
+import resource
+from types import SimpleNamespace
 import re
 
 import numpy as np
+import pyarrow as pa
 from odd import ODD, PROSE, documents
 
+from pyspark.sql import functions as F
+
 from shalebed.llm import decontaminate, repeats
 
 
@@ -85,31 +90,66 @@ def test_leaks(spark):
 def test_leaks_of_many_items_against_brute_force(spark, monkeypatch):
     """Directions that no item shaped, as where items far outnumber them: a cosine by itself would lose some."""
     directions = np.random.default_rng(3).standard_normal((decontaminate.FEATURES, decontaminate.RANK)).astype(np.float32)
-    monkeypatch.setattr(decontaminate, "fit", lambda corpus, benchmark: decontaminate.Space(decontaminate.idf(corpus.unionByName(benchmark)), directions))
+    monkeypatch.setattr(decontaminate, "fit", lambda corpus, benchmark: decontaminate.Directions(decontaminate.idf(corpus.unionByName(benchmark)), directions))
     rng = random.Random(8)
     words = [f"w{i}".encode() for i in range(1500)]
-    items = [[rng.choice(words) for _ in range(rng.randrange(10, 20))] for _ in range(200)]
+    items = [[rng.choice(words) for _ in range(rng.randrange(10, 30))] for _ in range(200)]
     docs = []
     for d in range(60):
         doc = [rng.choice(words) for _ in range(rng.randrange(200, 260))]
         item = items[rng.randrange(len(items))]
         at = rng.randrange(len(doc))
-        doc[at:at] = item if d % 2 else [w for k, w in enumerate(item) if k % 4]
+        doc[at:at] = item if d % 3 == 0 else [w for k, w in enumerate(item) if k % 4] if d % 3 == 1 else item[: int(0.8 * len(item))]
         docs.append(doc)
     want = set()
     for d, doc in enumerate(docs):
         for lo in range(0, len(doc), decontaminate.CHUNK):
-            near = set(doc[max(0, lo - 20) : lo + 84])
+            near = set(doc[max(0, lo - 30) : lo + 94])
             for i, item in enumerate(items):
                 n, end = len(item), decontaminate.answer(item)
                 if len(near.intersection(item)) < 0.4 * n:
                     continue
                 span = doc[max(0, lo - n) : lo + 2 * decontaminate.CHUNK + n]
-                if decontaminate.lcs(decontaminate.bits(item), n, span) >= 0.6 * n and decontaminate.lcs(decontaminate.bits(end), len(end), span) >= 0.5 * len(end):
+                same = decontaminate.lcs(decontaminate.bits(item), n, span)
+                if same >= 0.6 * n and (n >= decontaminate.SURE_WORDS and same >= decontaminate.SURE * n or decontaminate.lcs(decontaminate.bits(end), len(end), span) >= 0.5 * len(end)):
                     want.add((d, i))
     bench = spark.createDataFrame([(i, b" ".join(x).decode()) for i, x in enumerate(items)], "item_id long, text string")
     got = decontaminate.leaks(documents(spark, [b" ".join(d).decode() for d in docs]), bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) >= 60
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) >= 40
+    # the same in parts of few chunks
+    monkeypatch.setattr(decontaminate, "CELLS", 4 * len(items))
+    got = decontaminate.leaks(documents(spark, [b" ".join(d).decode() for d in docs] + [b" ".join(sum(docs, [])).decode()]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got if r.doc_id < len(docs)} == want
+    assert {r.item_id for r in got if r.doc_id == len(docs)} >= {i for _, i in want}
+
+
+def test_parts_overlap():
+    for n in (1, 31, 500, 1000, 1001, 5000):
+        for most, pad in ((512, 96), (1024, 160)):
+            words, held = list(range(n)), {}
+            for part in decontaminate.parts(words, most, pad):
+                assert len(part) <= most and part[0] % decontaminate.CHUNK == 0
+                for w in part:
+                    if (w < pad or w - part[0] >= pad) and (w >= n - pad or part[-1] - w >= pad):
+                        held[w] = True
+            assert len(held) == n
+
+
+def test_a_long_text_and_many_items_in_bounded_memory():
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(20_000)]
+    items = [(i, [rng.choice(words).encode() for _ in range(30)]) for i in range(4096)]
+    text = [rng.choice(words) for _ in range(600_000)]
+    text[300_000:300_030] = [w.decode() for w in items[7][1]]
+    latent = decontaminate.Directions(np.ones(decontaminate.FEATURES), np.random.default_rng(1).standard_normal((decontaminate.FEATURES, 8)).astype(np.float32))
+    shared = SimpleNamespace(value=(latent, items))
+    search = decontaminate._search(shared, decontaminate.LCS, decontaminate.ANSWER)
+    small = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b c"])], ["id", "text"])
+    list(search(iter([small])))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = pa.Table.from_batches(search(iter([pa.RecordBatch.from_arrays([pa.array([5]), pa.array([" ".join(text)])], ["id", "text"])]))).to_pylist()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(5, 7)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700 * 1024
 
 
 def test_pipeline(spark, tmp_path):
@@ -131,6 +171,16 @@ def test_pipeline(spark, tmp_path):
             out.write.parquet(str(tmp_path / name))
             frame = spark.read.parquet(str(tmp_path / name))
             left.append(sorted(r.doc_id for r in frame.collect()))
+    # null ids pass, repeats of id and text are one row, columns with the stages' own names are kept
+    rows = [(None, docs[0] + " x", 1), (None, docs[5], 2), (3, docs[1], 3), (3, docs[1], 3), (3, docs[2] + " " + bench, 4)]
+    odd = spark.createDataFrame([(*r, "p", 0.5) for r in rows], "doc_id long, text string, score int, lang_pred string, comp double")
+    odd = corpus_pipeline.near_duplicates(spark, odd, str(tmp_path))
+    assert sorted((r.doc_id or -1, r.score) for r in odd.collect()) == [(-1, 1), (-1, 2), (3, 3), (3, 4)]
+    odd = corpus_pipeline.decontamination(spark, odd, str(tmp_path))
+    assert sorted((r.doc_id or -1, r.score) for r in odd.collect()) == [(-1, 1), (-1, 2), (3, 3)]
+    labelled = odd.withColumn("lang", F.lit("en"))
+    assert corpus_pipeline.language_id(spark, labelled, str(tmp_path)).columns == labelled.columns
+    assert corpus_pipeline.language_id(spark, labelled.limit(0), str(tmp_path)).count() == 0
     assert left == [[0, 1, 2, 3, 4, 7], [0, 2, 3, 4, 7], [0, 2, 4, 7], [0, 2, 4, 7]]
     assert "[EMAIL]" in {r.doc_id: r.text for r in frame.collect()}[2]
     assert {r.doc_id for r in out.collect()} == {0, 2, 4, 7}
