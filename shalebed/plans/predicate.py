@@ -65,6 +65,15 @@ class Field:
 
     __hash__ = None
 
+    def isin(self, *values: Any) -> Predicate:
+        return In(self, tuple(values[0] if len(values) == 1 and isinstance(values[0], (list, tuple, set)) else values), True)
+
+    def is_null(self) -> Predicate:
+        return Null(self, True)
+
+    def is_not_null(self) -> Predicate:
+        return Null(self, False)
+
 
 def field(name: str) -> Field:
     return Field(name)
@@ -94,6 +103,8 @@ class Compare(Predicate):
         a, b, op = self.left, self.right, self.op
         if not isinstance(a, Field) and isinstance(b, Field):
             a, b, op = b, a, _SWAP[op]
+        if not isinstance(a, Field) and not isinstance(b, Field):
+            return F.coalesce(self.to_column(), F.lit(False))  # two values: it holds for all rows or for none
         if not isinstance(a, Field) or a.name not in keys or isinstance(b, Field) and b.name not in keys:
             return None
         lo, hi = F.col(f"`_MIN_{a.name}`"), F.col(f"`_MAX_{a.name}`")
@@ -102,6 +113,51 @@ class Compare(Predicate):
         return F.coalesce(found, F.lit(True))
 
 
+def compare(op: str, left: Any, right: Any) -> Predicate:
+    """A comparison of fields or values, on either side."""
+    if op not in _NOT:
+        raise ValueError(f"no comparison {op}")
+    return Compare(op, left, right)
+
+
+@dataclass(frozen=True, eq=False)
+class In(Predicate):
+    of: Field
+    values: tuple
+    inside: bool
+
+    def negated(self) -> Predicate:
+        return In(self.of, self.values, not self.inside)
+
+    def to_column(self) -> Column:
+        found = _column(self.of).isin(list(self.values))
+        return found if self.inside else ~found
+
+    def may_match(self, keys: list[str]) -> Column | None:
+        if not self.inside or self.of.name not in keys:
+            return None
+        lo, hi = F.col(f"`_MIN_{self.of.name}`"), F.col(f"`_MAX_{self.of.name}`")
+        found = F.lit(False)
+        for v in self.values:
+            found = found | (lo <= F.lit(v)) & (hi >= F.lit(v))
+        return F.coalesce(found, F.lit(True))
+
+
+@dataclass(frozen=True, eq=False)
+class Null(Predicate):
+    of: Field
+    null: bool
+
+    def negated(self) -> Predicate:
+        return Null(self.of, not self.null)
+
+    def to_column(self) -> Column:
+        return _column(self.of).isNull() if self.null else _column(self.of).isNotNull()
+
+    def may_match(self, keys: list[str]) -> Column | None:
+        return None  # bounds leave nulls out
+
+
 @dataclass(frozen=True, eq=False)
 class Both(Predicate):
     left: Predicate

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import StorageNotFoundError, UserInputError, VersionNotFoundError
+from .predicate import field
 
 
 @dataclass(frozen=True)
@@ -84,6 +85,8 @@ class View:
 
         if len(self.leaves()) != 1:
             raise UserInputError("A view of one table can be materialised; a join can't")
+        if missing := set(self.leaves()[0].primary_keys) - set(self.schema.names):
+            raise UserInputError(f"The view must hold the keys of its source to follow its deletes; it lacks {sorted(missing)}")
         udfs: dict[str, bytes] = {}
         plan = self.plan(udfs)
         Dataset.create(self.spark, location, self.schema, self.primary_keys, [], plan=plan, udfs=list(udfs))
@@ -225,19 +228,26 @@ class JoinView(View):
     def _joined(self, left: DataFrame, right: DataFrame) -> DataFrame:
         return left.join(right, self.key, self.how)
 
+    def _bounds(self, side: View):
+        """Smallest and largest key of a side: of a table from its manifest, without reading a data file."""
+        if hasattr(side, "index_manifest"):
+            return side.index_manifest().agg(F.min(f"`_MIN_{self.key}`"), F.max(f"`_MAX_{self.key}`")).first()
+        return side.df(fields=[self.key]).agg(F.min(self.key), F.max(self.key)).first()
+
     def _by_ranges(self) -> DataFrame:
         if self.how != "inner":
             raise UserInputError("Only an inner join can be done by ranges")
-        bounds = [side.df(fields=[self.key]).agg(F.min(self.key), F.max(self.key)).first() for side in (self.left, self.right)]
+        bounds = [self._bounds(side) for side in (self.left, self.right)]
         out = self._joined(self._side(0), self._side(1)).limit(0)
         if any(b[0] is None for b in bounds):
             return out
         whole = Range(max(b[0] for b in bounds), min(b[1] for b in bounds), True)
         parts = self.partition_fn(whole) if whole.min_ <= whole.max_ else []
-        key = F.col(f"`{self.key}`")
+        key = field(self.key)
         for r in parts:
-            test = (key >= F.lit(r.min_)) & ((key <= F.lit(r.max_)) if r.include_max else (key < F.lit(r.max_)))
-            part = self._joined(self._side(0).where(test), self._side(1).where(test))
+            # as a predicate, so that each side's files are pruned
+            test = (key >= r.min_) & ((key <= r.max_) if r.include_max else (key < r.max_))
+            part = self._joined(self._side(0, test), self._side(1, test))
             out = part if r is parts[0] else out.unionByName(part)
         return out
 
@@ -292,16 +302,18 @@ class MaterializedView:
     def _follow(self, source, snap: dict):
         """Delete the keys that the snapshot deleted and add what the view makes of its added rows, in one commit."""
         mv = self.dataset
-        added = mv._staged(self.view.transform(source.added_rows(snap)))
-        gone = source.deleted_rows(snap)
-        parent = mv._head()
-        keys, manifests, deleted = self.view.primary_keys, parent["manifests"], []
-        if snap["deleted"] and set(gone.columns) == set(keys):
-            manifest = mv._matching(gone, parent)
-            touched = mv._touched(mv._named(manifest).join(gone, keys, "left_semi"), manifest)
-            if not touched.isEmpty():
-                manifests, deleted = mv._rewrite(parent, touched, lambda o: o.join(gone, keys, "left_anti").select(o.columns), lambda o: o.join(gone, keys, "left_semi"))
-        new, stats, where = mv._store(added)
-        some = bool(stats["num_rows"])
-        return mv._commit(parent, [*manifests, new] if some else manifests, [new] if some else [], deleted, where, source_snapshot_id=snap["snapshot_id"])
-
+        try:
+            added = mv._staged(self.view.transform(source.added_rows(snap)))
+            gone, keys, parent = source.deleted_rows(snap), source.primary_keys, mv._head()
+            manifests, deleted = parent["manifests"], []
+            if snap["deleted"]:
+                # files are pruned by the view's own keys, where these are the source's too
+                manifest = mv._matching(gone, parent) if set(keys) == set(mv.primary_keys) else mv._manifest(manifests)
+                touched = mv._touched(mv._named(manifest).join(gone, keys, "left_semi"), manifest)
+                if not touched.isEmpty():
+                    manifests, deleted = mv._rewrite(parent, touched, lambda o: o.join(gone, keys, "left_anti").select(o.columns), lambda o: o.join(gone, keys, "left_semi"))
+            new, stats, where = mv._store(added)
+            some = bool(stats["num_rows"])
+            return mv._commit(parent, [*manifests, new] if some else manifests, [new] if some else [], deleted, where, source_snapshot_id=snap["snapshot_id"])
+        finally:
+            mv.clear()

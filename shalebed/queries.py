@@ -32,6 +32,8 @@ def query(sql: str | None) -> Callable:
 
 def _home(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(shared or tempfile.mkdtemp(prefix='shalebed-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -97,9 +99,9 @@ def read_field_vs_field(spark, sf):
     return out.read((field("conv_id") == field("turn")) | (field("turn") > field("conv_id")), ["conv_id", "turn", "role"])
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey < 2000")
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def read_lineitem(spark, sf):
-    return _table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber"]).read(field("l_orderkey") < 2000, ["l_orderkey", "l_linenumber", "l_quantity"])
+    return _table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber"]).read(fields=["l_orderkey", "l_linenumber", "l_quantity"])
 
 
 @query(f"{_O} WHERE o_orderkey < 1000")
@@ -207,9 +209,9 @@ def _priced(cols):
 _PRICED = "p_partkey long, price double, size int"
 
 
-@query("SELECT p_partkey, p_retailprice * 2 AS price, CAST(p_size + 1 AS INTEGER) AS size FROM part WHERE p_partkey < 1500")
+@query("SELECT p_partkey, p_retailprice * 2 AS price, CAST(p_size + 1 AS INTEGER) AS size FROM part")
 def map_batches_price(spark, sf):
-    return _table(spark, sf, "part", ["p_partkey"]).map_batches(_priced, _PRICED, ["p_partkey", "p_retailprice", "p_size"]).df(filter_=field("p_partkey") < 1500)
+    return _table(spark, sf, "part", ["p_partkey"]).map_batches(_priced, _PRICED, ["p_partkey", "p_retailprice", "p_size"]).df()
 
 
 @query("SELECT p_partkey, p_retailprice * 2 AS price FROM part WHERE p_size + 1 > 25")
@@ -242,6 +244,29 @@ def mv_refresh_incremental(spark, sf):
     return mv.df(fields=["p_partkey", "price"])
 
 
+def _sizes(batch):
+    return {"conv_id": batch["conv_id"], "turn": batch["turn"], "size": [len(t) for t in batch["text"]]}
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 3 ELSE length(text) END AS size FROM conversations WHERE turn <> 2")
+def mv_refresh_composite_key(spark, sf):
+    src = _src(spark, sf, "conversations")
+    t = _table(spark, sf, "conversations", ["conv_id", "turn"])
+    mv = t.map_batches(_sizes, "conv_id long, turn long, size long", primary_keys=["conv_id"]).materialize(_home(spark))
+    mv.refresh()
+    t.upsert(src.where("turn % 2 = 1").withColumn("text", F.lit("new")))
+    t.delete(field("turn") == 2)
+    mv.refresh()
+    return mv.df()
+
+
+@query("SELECT page_id, html FROM pages WHERE page_id % 3 = 0")
+def record_field_filtered(spark, sf):
+    df = _src(spark, sf, "pages").withColumn("html", F.col("html").cast("binary"))
+    t = _table(spark, sf, "pages", ["page_id"], ["html"], df, at=40)
+    return t.read(F.col("page_id") % 3 == 0, ["page_id", "html"]).withColumn("html", F.col("html").cast("string"))
+
+
 @query("SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)")
 def join_docs_labels(spark, sf):
     return _docs(spark, sf).join(_table(spark, sf, "labels", ["doc_id"]), ["doc_id"], ["lang", "n_chars"]).df()
@@ -302,11 +327,13 @@ def explode_min_max(spark, sf):
     return t.read(fields=["vec_id", "embedding"]).select("vec_id", F.explode("embedding").alias("x")).groupBy("vec_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
 
 
-@query("SELECT page_id, html FROM pages WHERE page_id IN (0, 7, 20)")
+@query("SELECT page_id, html FROM pages")
 def random_access_rows(spark, sf):
+    """Every page by its position, last one first, in one request."""
     src = _src(spark, sf, "pages").withColumn("html", F.col("html").cast("binary"))
     rows = RandomAccess(_table(spark, sf, "pages", ["page_id"], ["html"], src), "html")
-    return spark.createDataFrame([(i, bytes(b).decode()) for i, b in zip([7, 20, 0], rows[[7, 20, 0]], strict=True)], "page_id long, html string")
+    ids = [r[0] for r in src.select("page_id").orderBy(F.desc("page_id")).collect()]
+    return spark.createDataFrame(list(zip(ids, (b.decode() for b in rows[::-1]), strict=True)), "page_id long, html string")
 
 
 @query("SELECT page_id, url FROM pages")
@@ -345,24 +372,22 @@ def file_type_path(spark, sf):
     return t.read().select("page_id", full_path(t.schema["url"]).alias("path"))
 
 
-@query("SELECT event_type, count(*) AS n, max(event_id) AS last FROM events WHERE event_id < 900 GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY event_type")
 def catalog_sql(spark, sf):
     c = DirCatalog(spark, _home(spark))
     c.create_dataset("events_kept", _src(spark, sf, "events").schema, ["event_id"]).append(_src(spark, sf, "events"))
     c.register()
-    return spark.sql("SELECT event_type, count(*) AS n, max(event_id) AS last FROM events_kept WHERE event_id < 900 GROUP BY event_type")
+    return spark.sql("SELECT event_type, count(*) AS n, max(event_id) AS last FROM events_kept GROUP BY event_type")
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id >= 300")
+@query("SELECT event_id, event_type FROM events WHERE event_id % 7 <> 3")
 def follow_feed(spark, sf):
     t = _table(spark, sf, "events", ["event_id"], at=600)
-    t.delete(field("event_id") < 300)
+    t.delete(F.col("event_id") % 7 == 3)
     copy = Dataset.create(spark, _home(spark), "event_id long, event_type string", ["event_id"])
 
     def sink(changes, _):
-        gone = changes.where("_change_type = 'DELETE'").select("event_id")
-        if not gone.isEmpty():
-            copy.delete(F.col("event_id") < gone.agg(F.max("event_id")).first()[0] + 1)
+        copy.delete_keys(changes.where("_change_type = 'DELETE'"))
         copy.append(changes.where("_change_type = 'ADD'"))
 
     follow(t, sink, "copy")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import urllib.parse
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
@@ -20,12 +23,15 @@ def _file(location: str) -> Column:
     return F.when(own != "", own).otherwise(F.col("_metadata.file_path"))
 
 
-def place(df: DataFrame, fields: list[str], location: str) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Write the record fields of ``df``; the frame with addresses in their place, and the folders written."""
-    spark, tmp = df.sparkSession, f"{location}/tmp/{uuid.uuid4().hex}"
+def place(df: DataFrame, fields: list[str], location: str, tmp: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Write the record fields of ``df``; the frame with addresses in their place, and the folders written.
+
+    ``tmp``: a folder that the caller removes when the frame has been written.
+    """
+    spark = df.sparkSession
     # written first: the row numbers must not be computed twice
-    df.withColumn("__rid", F.monotonically_increasing_id()).write.parquet(tmp)
-    staged = spark.read.parquet(tmp)
+    df.withColumn("__rid", F.monotonically_increasing_id()).write.parquet(f"{location}/{tmp}")
+    staged = spark.read.parquet(f"{location}/{tmp}")
     out, where = staged.drop(*fields), {}
     for i, f in enumerate(fields):
         path = f"records/f{i}/{uuid.uuid4().hex}"
@@ -35,11 +41,17 @@ def place(df: DataFrame, fields: list[str], location: str) -> tuple[DataFrame, d
     return out.select(*(f"`{c}`" for c in df.columns)), where
 
 
+def files_of(addresses: DataFrame, field: str, location: str) -> list[str]:
+    """Paths of the record files that ``addresses`` point into; as for any read, paths of files reach the driver."""
+    found = [r[0] for r in addresses.select(F.col(f"`{field}`")["_FILE"]).distinct().collect() if r[0] is not None]
+    return sorted(f"{location}/{f}" if f.startswith("records/") else urllib.parse.unquote(f.removeprefix("file://")) if f.startswith("file:") else f for f in found)
+
+
 def values(spark: SparkSession, paths: list[str], location: str, field: str) -> DataFrame:
     """_FILE, _ROW_ID and the value of every record."""
     rows = spark.read.parquet(*paths)
-    column = "value" if "value" in rows.columns else field
-    return rows.select(_file(location).alias("_FILE"), F.col("_metadata.row_index").alias("_ROW_ID"), F.col(column).alias("_value"))
+    column = "value" if "value" in rows.columns else field if field in rows.columns else rows.columns[0]
+    return rows.select(_file(location).alias("_FILE"), F.col("_metadata.row_index").alias("_ROW_ID"), F.col(f"`{column}`").alias("_value"))
 
 
 def fetch(df: DataFrame, field: str, paths: list[str], location: str) -> DataFrame:
@@ -71,28 +83,44 @@ def index_foreign(spark: SparkSession, pattern: str, column: str, field: str, sc
 class RandomAccess(Sequence):
     """Records by position in a table of addresses: a value for one field, a dict for several.
 
-    The addresses are held here; records are read when asked for, many at once for a list.
+    The addresses lie in order in files below the table; here is one number for each of
+    those files' parts. A request reads the addresses asked for, and then the record files
+    they point into, many at once for a list. :meth:`close` removes the addresses.
     """
 
     def __init__(self, dataset, fields: list[str] | str, order_by: list[str] | None = None, load: Callable[[bytes], Any] | None = None):
         self.dataset, self.load = dataset, load or (lambda b: b)
         self.fields = [fields] if isinstance(fields, str) else list(fields)
-        rows = dataset.read(fields=[*dataset.primary_keys, *self.fields], reference_read=True)
-        self.addresses = [tuple(tuple(r[f]) for f in self.fields) for r in rows.orderBy(*(order_by or dataset.primary_keys)).collect()]
+        self.folder, spark = f"tmp/addresses-{uuid.uuid4().hex}", dataset.spark
+        order = [f"`{c}`" for c in order_by or dataset.primary_keys]
+        rows = dataset.read(fields=[*dataset.primary_keys, *self.fields], reference_read=True).orderBy(*order)
+        rows.select(F.monotonically_increasing_id().alias("_at"), *(F.col(f"`{f}`").alias(f"_{i}") for i, f in enumerate(self.fields))).write.parquet(f"{dataset.location}/{self.folder}")
+        self.rows = spark.read.parquet(f"{dataset.location}/{self.folder}")
+        parts = self.rows.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count(F.lit(1)), F.min("_at")).orderBy("p").collect()
+        self.ends, self.firsts = list(itertools.accumulate(r[1] for r in parts)), [r[2] for r in parts]
 
     def __len__(self) -> int:
-        return len(self.addresses)
+        return self.ends[-1] if self.ends else 0
+
+    def _where(self, i: int) -> int:
+        if not -len(self) <= i < len(self):
+            raise IndexError(i)
+        i %= len(self)
+        part = bisect.bisect_right(self.ends, i)
+        return self.firsts[part] + i - (self.ends[part - 1] if part else 0)
 
     def __getitem__(self, at):
         if isinstance(at, slice):
             at = list(range(len(self)))[at]
         many = isinstance(at, (list, tuple))
-        wanted = [self.addresses[i] for i in (at if many else [at])]
-        spark, got = self.dataset.spark, []
-        for k, f in enumerate(self.fields):
-            asked = spark.createDataFrame(list({w[k] for w in wanted}), "_FILE string, _ROW_ID long")
-            held = values(spark, self.dataset._record_paths(f), self.dataset.location, f)
-            found = {(r[0], r[1]): self.load(r[2]) for r in held.join(F.broadcast(asked), ["_FILE", "_ROW_ID"]).collect()}
-            got.append([found[w[k]] for w in wanted])
-        rows = got[0] if len(self.fields) == 1 else [dict(zip(self.fields, r, strict=True)) for r in zip(*got, strict=True)]
+        wanted = [self._where(i) for i in (at if many else [at])]
+        asked = self.rows.where(F.col("_at").isin(sorted(set(wanted))))
+        found: list[dict] = []
+        for i in range(len(self.fields)):
+            got = fetch(asked.select("_at", f"_{i}"), f"_{i}", files_of(asked, f"_{i}", self.dataset.location), self.dataset.location)
+            found.append({r[0]: self.load(r[1]) for r in got.collect()})
+        rows = [found[0][w] if len(self.fields) == 1 else {f: got[w] for f, got in zip(self.fields, found, strict=True)} for w in wanted]
         return rows if many else rows[0]
+
+    def close(self) -> None:
+        self.dataset.log.store.delete(self.folder)

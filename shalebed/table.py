@@ -12,6 +12,7 @@ from enum import Enum
 from typing import Any
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,7 @@ class JobResult:
 
 
 def mutation(f: Callable) -> Callable:
-    """Refused changes become a failed result; other errors pass."""
+    """Refused changes become a failed result; other errors pass. What was written aside is removed."""
 
     @functools.wraps(f)
     def run(self, *args, **kwargs) -> JobResult:
@@ -50,6 +51,8 @@ def mutation(f: Callable) -> Callable:
             return f(self, *args, **kwargs) or JobResult(JobResult.State.SKIPPED)
         except (ConflictError, PrimaryKeyExistError, UserInputError) as e:
             return JobResult(JobResult.State.FAILED, str(e))
+        finally:
+            self.clear()
 
     return run
 
@@ -60,6 +63,18 @@ class Dataset(View):
     def __init__(self, spark: SparkSession, location: str):
         self.spark, self.location = spark, location.rstrip("/")
         self.log, self.branch = Log(Store(spark, self.location)), MAIN
+        #: options of the Parquet writer for new data files, e.g. maxRecordsPerFile or parquet.block.size
+        self.write_options: dict[str, Any] = {}
+        self._aside: list[str] = []
+
+    def aside(self) -> str:
+        """A new folder below the table, removed at the end of the change."""
+        self._aside.append(f"tmp/{uuid.uuid4().hex}")
+        return self._aside[-1]
+
+    def clear(self) -> None:
+        while self._aside:
+            self.log.store.delete(self._aside.pop())
 
     # --- creation -------------------------------------------------------------------------
 
@@ -219,7 +234,7 @@ class Dataset(View):
     def _write(self, df: DataFrame) -> tuple[str, dict]:
         """Write rows of the physical schema to a new folder; the manifest's path and the sums."""
         txn = f"data/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.location}/{txn}")
+        df.write.options(**self.write_options).parquet(f"{self.location}/{txn}")
         return self._describe(self._scan([f"{self.location}/{txn}"]), lambda: F.concat(F.lit(f"{txn}/"), F.col("_metadata.file_name")))
 
     def _describe(self, rows: DataFrame, name: Callable[[], Column]) -> tuple[str, dict]:
@@ -251,7 +266,9 @@ class Dataset(View):
             raise UserInputError(f"No such fields: {sorted(missing)}")
         out = out.select(*(f"`{n}`" for n in self.schema.names if n in names))
         for f in [] if reference_read else [r for r in self.record_fields if r in names]:
-            out = records.fetch(out, f, self._record_paths(f), self.location)
+            # of a filtered table only the record files that its addresses point into are read
+            paths = self._record_paths(f) if filter_ is None else records.files_of(out, f, self.location)
+            out = records.fetch(out, f, paths, self.location)
         return out.select(*(f"`{n}`" for n in names))
 
     def read_all(self, *args, **kwargs) -> pa.Table | None:
@@ -261,14 +278,15 @@ class Dataset(View):
 
     def read_batches(self, batch_size: int = 16, **kwargs) -> Iterator[pa.Table]:
         """Arrow tables of ``batch_size`` rows, partition by partition."""
-        held = []
-        for row in self.read(**kwargs).toLocalIterator():
+        rows = self.read(**kwargs)
+        schema, held = rows.limit(0).toArrow().schema, []
+        for row in rows.toLocalIterator(prefetchPartitions=True):
             held.append(row.asDict(recursive=True))
             if len(held) == batch_size:
-                yield pa.Table.from_pylist(held)
+                yield pa.Table.from_pylist(held, schema)
                 held = []
         if held:
-            yield pa.Table.from_pylist(held)
+            yield pa.Table.from_pylist(held, schema)
 
     def to_temp_view(self, name: str, **kwargs) -> None:
         self.read(**kwargs).createOrReplaceTempView(name)
@@ -292,7 +310,7 @@ class Dataset(View):
         return self.frame(self.spark.createDataFrame(data, self.schema) if isinstance(data, list) else self.spark.createDataFrame(data))
 
     def _store(self, df: DataFrame) -> tuple[str, dict, dict]:
-        placed, where = records.place(df, self.record_fields, self.location) if self.record_fields else (df, {})
+        placed, where = records.place(df, self.record_fields, self.location, self.aside()) if self.record_fields else (df, {})
         return *self._write(placed), where
 
     def _head(self) -> dict:
@@ -345,6 +363,14 @@ class Dataset(View):
         """Register Parquet files elsewhere without copying them. No match: SKIPPED."""
         if self.record_fields:
             raise UserInputError("A table with record fields can't take foreign Parquet files")
+        try:
+            names = self.spark.read.parquet(pattern).columns
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+        if missing := set(self.schema.names) - set(names):
+            raise UserInputError(f"The files lack fields {sorted(missing)}")
         found = self.spark.read.schema(S.physical(self.schema, [])).parquet(pattern)
         parent = self._head()
         # a URI in which signs are percent-encoded; decoded, as the reader takes plain paths
@@ -397,6 +423,19 @@ class Dataset(View):
         manifests, deleted = self._rewrite(parent, touched, lambda df: df.where(~F.coalesce(test, F.lit(False))), lambda df: df.where(test))
         return self._commit(parent, manifests, [], deleted)
 
+    @mutation
+    def delete_keys(self, data: DataFrame) -> JobResult | None:
+        """Remove the rows whose keys stand in ``data`` (columns of the keys, any number of rows). None: SKIPPED."""
+        pk, path = self.primary_keys, f"{self.location}/{self.aside()}"
+        data.select(*(F.col(f"`{k}`").cast(self.schema[k].dataType).alias(k) for k in pk)).distinct().write.parquet(path)
+        keys, parent = self.spark.read.parquet(path), self._head()
+        manifest = self._matching(keys, parent)
+        touched = self._touched(self._named(manifest).join(keys, pk, "left_semi"), manifest)
+        if touched.isEmpty():
+            return None
+        manifests, deleted = self._rewrite(parent, touched, lambda o: o.join(keys, pk, "left_anti").select(o.columns), lambda o: o.join(keys, pk, "left_semi"))
+        return self._commit(parent, manifests, [], deleted)
+
     def _matching(self, keys: DataFrame, parent: dict) -> DataFrame:
         """Manifest rows of the files whose bounds meet the bounds of ``keys``."""
         bounds = keys.agg(*(f(f"`{k}`") for k in self.primary_keys for f in (F.min, F.max))).first()
@@ -408,7 +447,7 @@ class Dataset(View):
 
     def _staged(self, data: Any) -> DataFrame:
         """The input, written once: it is read several times."""
-        path = f"{self.location}/tmp/{uuid.uuid4().hex}"
+        path = f"{self.location}/{self.aside()}"
         df = self.frame(data)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -418,7 +457,9 @@ class Dataset(View):
         keys = df.select(*(f"`{k}`" for k in pk))
         if df.isEmpty() and not extra:
             return None
-        if not keys.dropna().groupBy(*pk).count().where("count > 1").isEmpty():
+        if not keys.where(" or ".join(f"`{k}` is null" for k in pk)).isEmpty():
+            raise UserInputError("A primary key of the input is null")
+        if not keys.groupBy(*(f"`{k}`" for k in pk)).count().where("count > 1").isEmpty():
             raise PrimaryKeyExistError("A primary key stands twice in the input")
         manifest = self._matching(keys, parent)
         scan = self._named(manifest)
