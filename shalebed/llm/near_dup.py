@@ -7,8 +7,8 @@ The shape of the bands and the bits that may differ follow from the threshold
 (:func:`shape`): a pair at the threshold shares no bucket with a probability of at most
 ``MISS``, and fails the sieve with one of at most ``SIEVED``; both fall quickly above it.
 
-Links are found without listing the pairs of a bucket. First each bucket's member of
-smallest id, its head, is compared with the others. Buckets that then still hold more
+Links are found without listing the pairs of a bucket. First each bucket's most central
+member (the one in the fullest buckets), its head, is compared with the others. Buckets that then still hold more
 than one component are looked at again. In those of up to ``DENSE`` members, members
 outside the head's component are compared with every member of other components. A
 larger bucket is dealt into smaller ones by the shingles that its members have and its
@@ -46,7 +46,7 @@ SAMPLES = 126
 SKETCH_WORDS = 4
 THRESHOLD = 85
 #: Probabilities of losing a pair just at the threshold, by the bands and by the sieve.
-MISS, SIEVED = 5e-5, 1e-6
+MISS, SIEVED = 5e-5, 2e-5
 #: Members up to which a bucket's components are compared pair by pair; larger buckets are dealt into smaller ones first.
 DENSE = 128
 #: Links up to which components are found in one task.
@@ -299,15 +299,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """key, node, n (members of the key) and head (its smallest node) of the keys with more than one row."""
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
+    """key, node and n (members of the key) of the keys with more than one row."""
+    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(full, "key")
 
 
+def _heads(keys: DataFrame) -> DataFrame:
+    """The member of each bucket that is in the fullest buckets: the same one for as many buckets of a group as can be."""
+    weight = keys.groupBy("node").agg(F.sum("n").alias("w"))
+    return keys.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("head"))
+
+
 def _sketched(keys: DataFrame, sketches: DataFrame, sieve: int) -> DataFrame:
-    """``keys`` with the node's sketch, and near: whether the head's passes the sieve."""
+    """``keys`` with their heads, the node's sketch, and near: whether the head's passes the sieve."""
     x, y = sketches.alias("x"), sketches.alias("y")
-    joined = keys.alias("k").join(x, F.col("k.node") == F.col("x.node")).join(y, F.col("k.head") == F.col("y.node"))
+    joined = keys.join(_heads(keys), "key").alias("k").join(x, F.col("k.node") == F.col("x.node")).join(y, F.col("k.head") == F.col("y.node"))
     return joined.select("k.*", *(F.col(f"x.{s}") for s in _S), (_apart("x", "y") <= sieve).alias("near"))
 
 
