@@ -60,7 +60,7 @@ ANSWER = 0.5
 #: Share of an item's words in order from which its answer isn't asked for any more, and words that such an item has at least.
 SURE, SURE_WORDS = 0.75, 20
 #: Chunks x items whose hits are counted together: longer texts are searched in overlapping parts.
-CELLS = 1 << 22
+CELLS = 1 << 20
 _LOWER = bytes(range(256)).lower()
 _SIGNS = bytes(i for i in range(33, 128) if not chr(i).isalnum())
 

@@ -49,9 +49,9 @@ SCALED = 16
 #: Code points of words that are scored together; longer ones by themselves, so many at a time.
 TOGETHER = 1 << 16
 #: Words and tokens between blanks, and numbers in their scores, that one Python worker keeps.
-CACHE, CELLS = 500_000, 4_000_000
+CACHE, CELLS = 300_000, 4_000_000
 #: Characters of text whose words are looked up together (a longer single text is looked up whole).
-SLICE = 1 << 21
+SLICE = 1 << 20
 UNSEEN = 1e-7
 _SMOOTH = 0.05
 _RUNS = re.compile(r"[^\x00-\x60\x7b-\x7f]+").findall

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Pieces, and units of pieces, of one generation; a Python worker keeps two of each (about 200 bytes an entry).
-PIECES, UNITS = 300_000, 200_000
+PIECES, UNITS = 120_000, 90_000
 _LONGEST = 64
 #: Whitespace other than one blank or line feed in front and single line feeds inside, between NUL signs: such pieces are not encoded with others.
 _ODD = r"(?<!\0) |\n[\n\0]|(?<=\0 )\n"
@@ -216,7 +216,7 @@ def encoder(vocabulary: str) -> Encoder:
 
 
 #: Rows and bytes of text that are encoded together (a longer single text is encoded by itself).
-ROWS, BYTES = 2048, 4 << 20
+ROWS, BYTES = 2048, 2 << 20
 
 
 def spans(texts: pa.Array) -> Iterator[tuple[int, int]]:
