@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from odd import ODD, PROSE, documents
 
 from pyspark.sql import functions as F
@@ -49,6 +50,33 @@ def test_repeats_against_brute_force(spark):
     assert got == want and sum(w[2] > 0 for w in want) > 15
 
 
+@pytest.mark.parametrize("shard", [4, 1 << 16])
+def test_the_automaton_locates_what_no_place_tells(monkeypatch, shard):
+    monkeypatch.setattr(repeats, "SHARD", shard)
+    rng = random.Random(6)
+    pool = [[f"p{p}w{i}".encode() for i in range(60)] for p in range(3)]
+    docs, known = [], []
+    for d in range(12):
+        doc, places = [f"d{d}w{i}".encode() for i in range(rng.randrange(60, 200))], []
+        for p in pool[: 1 + d % 3]:
+            for _ in range(3):
+                at = rng.randrange(len(doc))
+                doc[at:at] = p
+        for p in pool[: 1 + d % 3]:  # one place of one phrase of each passage, if it is whole there
+            for at in range(len(doc) - 11):
+                if doc[at : at + 12] == p[20:32]:
+                    places.append(at)
+                    break
+        docs.append(doc)
+        known.append(np.array(places, np.int32))
+    flat, off, flag = repeats.located(docs, known)
+    told = {tuple(docs[d][p : p + 12]) for d in range(len(docs)) for p in known[d]}
+    want = {(d, k) for d, doc in enumerate(docs) for k in range(len(doc) - 49) if any(tuple(doc[j : j + 12]) in told for j in range(k, k + 39))}
+    assert {(d, int(p - off[d])) for d in range(len(docs)) for p in range(off[d], off[d + 1]) if flag[p]} == want
+    # the places by themselves tell less
+    assert len({(d, k) for d, doc in enumerate(docs) for p in known[d] for k in range(max(0, p - 38), min(p, len(doc) - 50) + 1)}) < len(want)
+
+
 def test_repeats_of_odd_tables(spark):
     assert repeats.remove(documents(spark, [])).count() == 0
     got = repeats.remove(documents(spark, [PROSE, PROSE, PROSE], ids=[4, 4, 9])).collect()
