@@ -128,7 +128,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n += len(held)
             doc = np.repeat(np.arange(len(held)), [len(ws) for ws in held])
             # two words of one document may share a feature
-            df += np.bincount(np.unique(doc * FEATURES + features(held)) % FEATURES, minlength=FEATURES)
+            both = np.sort(doc * FEATURES + features(held))
+            df += np.bincount(both[np.diff(both, prepend=-1) > 0] % FEATURES, minlength=FEATURES)
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["f", "n"])
 
@@ -254,6 +255,7 @@ def _search(shared, least: float, least_answer: float):
         q = latent.project([p for _, p in queries])
         owned = np.searchsorted([i for i, _ in queries], np.arange(len(items) + 1))
         whole, ends = [bits(ws) for _, ws in items], [bits(answer(ws)) for _, ws in items]
+        often = [({w: at.bit_count() for w, at in where.items()}.__getitem__, frozenset(where).intersection) for where in whole]
         found = [rarest(ws, latent.idf, least) for _, ws in items]
         need = np.array([m for _, m in found], np.int64)
         rare = np.array([(f, i) for i, (fs, _) in enumerate(found) for f in sorted(fs)], np.int64).reshape(-1, 2)
@@ -282,7 +284,9 @@ def _search(shared, least: float, least_answer: float):
                 d, words = int(doc[c]), items[i][1]
                 lo = CHUNK * (c - int(first[d]))
                 span = docs[d][max(0, lo - len(words)) : lo + 2 * CHUNK + len(words)]
-                if sum(map(whole[i].__contains__, span)) < least * len(words):
+                # no more words can stand in order than the item has of the words that stand there at all
+                times, shared_with = often[i]
+                if sum(map(times, shared_with(span))) < least * len(words):
                     continue
                 same = lcs(whole[i], len(words), span)
                 if same >= least * len(words) and (len(words) >= SURE_WORDS and same >= SURE * len(words) or lcs(ends[i], (m := len(answer(words))), span) >= least_answer * m):
