@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder, spans
+from .tokens import PIECES, encoder, spans
 from .workers import caching
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -44,13 +44,13 @@ def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return out
 
 
-def _packer(vocabulary: str, end: int, length: int):
+def _packer(vocabulary: str, end: int, length: int, pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tail, seen = TaskContext.get().partitionId(), np.array([end], "<i4").tobytes(), {}
         if part >> 24:
             raise ValueError("more tasks than sequence numbers have room for")
         with caching("tokens", encoder.cache_clear):
-            enc = encoder(vocabulary)
+            enc = encoder(vocabulary, pieces)
             for batch in batches:
                 for lo, rows in spans(batch.column("_text")):
                     some = batch.slice(lo, rows)
@@ -77,10 +77,13 @@ def _packer(vocabulary: str, end: int, length: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids."""
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", cached: int = PIECES) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids.
+
+    ``cached``: words that a Python worker keeps the ids of; fewer take less memory and more time, with the same result.
+    """
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     kind = docs.select(F.col(id_col).alias("i")).dtypes[0][1]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(_packer(vocabulary, end, length), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+    return rows.mapInArrow(_packer(vocabulary, end, length, cached), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")

@@ -32,8 +32,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Pieces, and units of pieces, of one generation; a Python worker keeps two of each (about 200 bytes an entry).
-PIECES, UNITS = 120_000, 90_000
+#: Pieces of one generation by default, and units of pieces for each; a Python worker keeps two generations (about 200 bytes an entry).
+PIECES, UNITS_A_PIECE = 300_000, 2 / 3
 _LONGEST = 64
 #: Whitespace other than one blank or line feed in front and single line feeds inside, between NUL signs: such pieces are not encoded with others.
 _ODD = r"(?<!\0) |\n[\n\0]|(?<=\0 )\n"
@@ -74,7 +74,7 @@ def resolve(vocabulary: str) -> str:
 
 
 class Encoder:
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, pieces: int = PIECES):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -88,6 +88,7 @@ class Encoder:
         # one that is looked for in normalised text can't be told from the text
         self.whole = not (self.leads or words) or any(a.normalized for a in added)
         self.special = re.compile("|".join(re.escape(a.content) for a in added)) if added else None
+        self.most, self.most_units = pieces, int(UNITS_A_PIECE * pieces)
         # what has been met since the last generation began, and what the one before it met
         self.kept: dict[str | tuple, bytes] = {}
         self.older: dict[str | tuple, bytes] = {}
@@ -120,7 +121,7 @@ class Encoder:
         """The ids of each text, as little-endian 32-bit integers. A null text has none."""
         apart = {i for i, t in enumerate(texts) if t and (self.whole or self.special and self.special.search(t))}
         cut = [self.pieces(t) if t and i not in apart else [] for i, t in enumerate(texts)]
-        if len(self.kept) > PIECES:
+        if len(self.kept) > self.most:
             self.kept, self.older = {}, self.kept
         todo = set().union(*cut).difference(self.kept)
         if todo:
@@ -173,7 +174,7 @@ class Encoder:
 
     def _joined(self, units: list[str], line: bytes | None = None) -> bytes:
         """The ids of all units; ``line``: what stands for a line feed."""
-        if len(self.units) > UNITS:
+        if len(self.units) > self.most_units:
             self.units, self.older_units = {}, self.units
         todo = set(units).difference(self.units)
         if line:
@@ -211,8 +212,8 @@ class Encoder:
 
 
 @lru_cache(4)
-def encoder(vocabulary: str) -> Encoder:
-    return Encoder(vocabulary)
+def encoder(vocabulary: str, pieces: int = PIECES) -> Encoder:
+    return Encoder(vocabulary, pieces)
 
 
 #: Rows and bytes of text that are encoded together (a longer single text is encoded by itself).
