@@ -12,7 +12,7 @@ member (the one in the fullest buckets), its head, is compared with the others.
 than one component are looked at again. In those of up to ``DENSE`` members, members
 outside the head's component are compared with every member of other components. A
 larger bucket is dealt into smaller ones by the shingles that its members have and its
-head lacks (:func:`_indexed`), which keeps every link, and these are treated in the same
+head lacks, and by those that the head has and members miss (:func:`_indexed`), which keeps every link, and these are treated in the same
 way. Each level leaves out the heads of the one before, so this ends; no bucket is ever
 too large. So each pair of a bucket is compared, or in one component already, or can't
 be a link; the components are those of comparing all pairs. The sieve is part of the
@@ -47,7 +47,7 @@ SKETCH_WORDS = 4
 THRESHOLD = 85
 #: Probabilities of losing a pair just at the threshold, by the bands and by the sieve.
 MISS, SIEVED = 5e-5, 2e-5
-#: Members up to which a bucket's components are compared pair by pair; larger buckets are dealt into smaller ones first.
+#: A bucket's components are compared pair by pair if its members outside the head's component times all are this squared at most; others are dealt into smaller ones first.
 DENSE = 128
 #: Links up to which components are found in one task.
 ONE_TASK = 1 << 20
@@ -279,16 +279,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         star = scratch.stage(confirmed(rows.where("near and node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), sets, threshold), "near-links")
         comp = grown(comp, star if links is None else star.union(links), scratch, one_task)
         split = scratch.stage(_split(rows, comp), "near-rest")
-        sizes = {r["big"]: r["count"] for r in split.groupBy((F.col("n") > dense).alias("big")).count().collect()}
+        sizes = {r["big"]: r["count"] for r in split.groupBy((F.col("work") > dense * dense).alias("big")).count().collect()}
         if not sizes:
             break
-        pairs = _across(split.where(F.col("n") <= dense), sieve)
+        pairs = _across(split.where(F.col("work") <= dense * dense), sieve)
         if True in sizes:
-            index = scratch.stage(_indexed(split.where(F.col("n") > dense).select("head", "node", "comp").distinct(), sets, threshold), "near-index")
-            pairs = pairs.union(_by_center(index, sketches, sieve))
+            index = scratch.stage(_indexed(split.where(F.col("work") > dense * dense).select("head", "node", "comp").distinct(), sets, threshold), "near-index")
+            pairs = pairs.union(_by_center(index, sketches, sieve, threshold))
         links = scratch.stage(confirmed(pairs.distinct(), sets, threshold), "near-links")
         if True in sizes:
-            keys = scratch.stage(_shared(index.where("not center").select("node", F.xxhash64("head", "x").alias("key"))), "near-keys")
+            keys = scratch.stage(_shared(index.where(F.col("kind") == LACKED).select("node", F.xxhash64("head", "x").alias("key"))), "near-keys")
         if True not in sizes or keys.isEmpty():
             comp = grown(comp, links, scratch, one_task)
             break
@@ -318,10 +318,11 @@ def _sketched(keys: DataFrame, sketches: DataFrame, sieve: int) -> DataFrame:
 
 
 def _split(rows: DataFrame, comp: DataFrame) -> DataFrame:
-    """``rows`` with comp and top (the head's component), of the keys that hold several components."""
+    """``rows`` with comp, top (the head's component) and work (pairs to compare in the key), of the keys that hold several components."""
     placed = rows.drop("near").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_m"), F.max(F.col("node") == F.col("head")).alias("_top"))
     # one component in all: nothing left to compare in the bucket
-    split = placed.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("head"), F.col("comp"))).alias("top"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key", "top")
+    split = parts.groupBy("key").agg(F.max(F.when(F.col("_top"), F.col("comp"))).alias("top"), (F.sum(F.when(F.col("_top"), 0).otherwise(F.col("_m"))) * F.sum("_m")).alias("work"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1").select("key", "top", "work")
     return placed.join(split, "key")
 
 
@@ -333,54 +334,82 @@ def _across(split: DataFrame, sieve: int) -> DataFrame:
     return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
+#: Kinds of rows of the index: a shingle that the head lacks, one of the head's that a node has, and those that it misses, all or as many as another's must meet.
+LACKED, HELD, MISSED, MET = range(4)
+
+
 def _prefixes(threshold: int):
     @alone("near_dup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, xs, center, small = [], [], [], []
+            n, xs, kinds, missing, weight, size = [], [], [], [], [], []
             for c, s, own in zip(batch.column("x"), batch.column("y"), batch.column("own").to_pylist(), strict=True):
                 c, s = np.frombuffer(c.as_py(), np.uint64), np.frombuffer(s.as_py(), np.uint64)
                 p = len(s) - -(-threshold * len(s) // 100) + 1
                 inside = np.isin(s, c, assume_unique=True)
-                less = len(s) < len(c)
-                lacking = s[~inside][:p]
-                common = s[inside][: p - len(lacking)] if less or not own else s[:0]
-                xs += [lacking, common]
-                center += [np.zeros(len(lacking), bool), np.ones(len(common), bool)]
-                n.append(len(lacking) + len(common))
-                small.append(less)
+                lacked = s[~inside]
+                a, k = len(lacked), len(s) - len(lacked)
+                m = len(c) - k
+                w = 100 * m + threshold * a
+                rows = {LACKED: lacked[:p]}
+                if a < p and 2 * threshold * k < 100 * len(c):
+                    rows[HELD] = s[inside][: p - a]
+                if a < p and 2 * k >= len(c):
+                    missed = c[~np.isin(c, s, assume_unique=True)]
+                    if not own:
+                        rows[MISSED] = missed
+                    rows[MET] = missed[: max(0, m + (-1 - w) // (100 + threshold) + 1)]
+                for kind, x in rows.items():
+                    xs.append(x)
+                    kinds.append(np.full(len(x), kind, np.int32))
+                n.append(sum(map(len, rows.values())))
+                missing.append(m)
+                weight.append(w)
+                size.append(len(c))
             take = pa.array(np.repeat(np.arange(len(n)), n))
-            flat = np.concatenate(xs) if xs else np.zeros(0, np.uint64)
             cols = [batch.column(k).take(take) for k in ("a", "b", "comp", "own")]
-            yield pa.RecordBatch.from_arrays([*cols, _long(flat), pa.array(np.concatenate(center) if center else [], pa.bool_()), pa.array(small, pa.bool_()).take(take)], ["head", "node", "comp", "own", "x", "center", "small"])
+            cols += [_long(np.concatenate([np.zeros(0, np.uint64), *xs])), pa.array(np.concatenate([np.zeros(0, np.int32), *kinds]))]
+            cols += [pa.array(v, pa.int64()).take(take) for v in (missing, weight, size)]
+            yield pa.RecordBatch.from_arrays(cols, ["head", "node", "comp", "own", "x", "kind", "missing", "weight", "size"])
 
     return run
 
 
 def _indexed(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """head, node, comp, own (in the head's component), x (a shingle), center (the head has x), small (fewer shingles than the head).
+    """head, node, comp, own (in the head's component), x (a shingle), kind, missing, weight and size (of the head's set).
 
     A node's shingles are ordered: first those that the head lacks, then the others, each
     by hash. Two sets of one order that are alike enough share one of their first
-    n - t n + 1 shingles (t: threshold), so those alone are rows here.
+    n - t n + 1 shingles (t: threshold), so those that the head lacks are rows if they are
+    among these (``LACKED``).
 
     Let C be the head's set, i a node that isn't linked with it, and let i and j share
-    only shingles of C. With a lacking and k common shingles a link needs
-    min(k_i, k_j) >= t (a_i + a_j + max(k_i, k_j)), and k_i < t (|C| + a_i); so
-    k_j + a_j < |C|: j is small. Common shingles are therefore indexed only for small
-    nodes and for those outside the head's component.
+    only shingles of C. Both have less than n - t n + 1 others then. Say each lacks m of
+    C's shingles and has a others, and s of C's are missing in both. A link needs
+    |C| - m_i - m_j + s >= t (|C| - s + a_i + a_j), and that i isn't linked with the head
+    says m_i + t a_i > (1 - t) |C|; so (1 + t) s > m_j + t a_j. More than half of what j
+    misses is missing in i: of all but the last s of j's missing shingles and one more
+    (``MET``), at least one is among i's (``MISSED``). However many nodes have most
+    shingles of the head, few share such a row.
+
+    Where a node has less than half of C, what it misses is long; its first common
+    shingles are rows instead (``HELD``), as they are of all that it may be linked with,
+    which have t of the other's common shingles at least.
     """
     own = members.where("head = node").select("head", F.col("comp").alias("_c"))
     told = members.where("head <> node").join(own, "head", "left").withColumn("own", F.coalesce(F.col("comp") == F.col("_c"), F.lit(False)))
     pairs = told.select(F.col("head").alias("a"), F.col("node").alias("b"), "comp", "own")
-    return _with_sets(pairs, sets).select("a", "b", "comp", "own", "x", "y").mapInArrow(_prefixes(threshold), "head long, node long, comp long, own boolean, x long, center boolean, small boolean")
-
-
-def _by_center(index: DataFrame, sketches: DataFrame, sieve: int) -> DataFrame:
-    """Pairs that share a common shingle in the index and may be links by :func:`_indexed`, through the sieve."""
-    rows = index.where("center").join(sketches, "node")
-    # one of each pair is outside the head's component; the other one is small
-    x, y = rows.where("not own").alias("x"), rows.where("small").alias("y")
-    may = (F.col("x.comp") != F.col("y.comp")) & (F.col("y.own") | F.col("x.small") & (F.col("x.node") < F.col("y.node")))
-    found = x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.x") == F.col("y.x")) & may & (_apart("x", "y") <= sieve))
+    return _with_sets(pairs, sets).select("a", "b", "comp", "own", "x", "y").mapInArrow(_prefixes(threshold), "head long, node long, comp long, own boolean, x long, kind int, missing long, weight long, size long")
+
+
+def _by_center(index: DataFrame, sketches: DataFrame, sieve: int, threshold: int) -> DataFrame:
+    """Pairs that share only shingles of the head and may be links by :func:`_indexed`, through the sieve."""
+    rows = index.where(F.col("kind") != LACKED).join(sketches, "node")
+    # one of each pair is outside the head's component
+    x, y = rows.where(~F.col("own") & (F.col("kind") != MET)).alias("x"), rows.where(F.col("kind") != MISSED).alias("y")
+    may = (F.col("x.comp") != F.col("y.comp")) & (F.col("y.own") | (F.col("x.node") < F.col("y.node")))
+    # no more can be missing in both than in one
+    both = (100 + threshold) * F.least("x.missing", "y.missing") >= F.col("x.weight") + F.col("y.weight") - (100 - threshold) * F.col("x.size")
+    fits = F.when(F.col("x.kind") == HELD, F.col("y.kind") == HELD).otherwise((F.col("y.kind") == MET) & both)
+    found = x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.x") == F.col("y.x")) & may & fits & (_apart("x", "y") <= sieve))
     return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))

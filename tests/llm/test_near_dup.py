@@ -108,6 +108,39 @@ def test_large_buckets_against_all_pairs(spark):
     assert len({c for _, c in want.values()}) > 20
 
 
+def test_index_of_a_large_group_keeps_links_and_makes_few_pairs(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base)]
+    for k in range(240):
+        at = rng.randrange(200) if k % 4 == 0 else 0
+        copy = base[at : at + rng.randrange(60, 90)] if k % 4 == 0 else list(base)
+        edits = rng.randrange(2) if k % 4 == 0 else rng.randrange(6, 14)
+        for _ in range(edits):
+            i = rng.randrange(len(copy))
+            copy[i : i + 1] = [f"n{rng.random()}"] if rng.random() < 0.5 else []
+        texts.append(" ".join(copy))
+    texts += [" ".join(texts[rng.randrange(1, 241)].split()[rng.randrange(4) :]) for _ in range(60)]
+    sets = [near_dup.shingle_sets([t.encode()])[0].tolist() for t in texts]
+    sets = [set(s) for s in sets]
+    link = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    own = {i for i, s in enumerate(sets) if link(s, sets[0])}
+    want = set()
+    for i in range(1, len(sets)):
+        for j in range(1, i):
+            if not {i, j} <= own and sets[i] != sets[j] and not (sets[i] & sets[j]) - sets[0] and link(sets[i], sets[j]):
+                want.add((j, i))
+    docs = documents(spark, texts).selectExpr("doc_id as _id", "text as _text")
+    nodes = docs.selectExpr("_id as node", *(f"0L as {s}" for s in near_dup._S))
+    full = near_dup.full_sets(docs, nodes).cache()
+    members = spark.createDataFrame([(0, i, 0 if i in own else i) for i in range(len(texts))], "head long, node long, comp long")
+    index = near_dup._indexed(members, full, 85).cache()
+    got = [tuple(sorted(r)) for r in near_dup._by_center(index, full.select("node", *near_dup._S), 256, 85).collect()]
+    assert want <= set(got) and len(want) > 20
+    # the common shingles of smallest hash, which most members have, would make several rows of each pair
+    assert len(got) < (len(texts) - len(own)) * len(texts) / 2
+
+
 def test_odd_tables(spark):
     assert near_dup.find(documents(spark, [])).count() == 0
     got = near_dup.find(documents(spark, ["a b c", "a b c", None], ids=[4, 4, None])).collect()
