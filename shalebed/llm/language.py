@@ -39,8 +39,6 @@ from .tokens import resolve
 from .workers import alone, caching
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Labelled rows that a model is fitted on: those of smallest hash.
-SAMPLE = 3000
 ROUNDS = 2
 #: Longest part of a word that is learned from as one.
 LEARNT = 256
@@ -280,55 +278,73 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["lang", "word", "n"])
 
 
+def _summed(start: np.ndarray, end: np.ndarray, word: np.ndarray, weight: np.ndarray, logs: np.ndarray) -> None:
+    """Fill ``logs`` (place, word) at ``end`` with the log of the sum over arcs of their weights and what is at ``start``, in ascending order of ``end``."""
+    order = np.lexsort((word, end))
+    start, end, word, weight = start[order], end[order], word[order], weight[order]
+    places, cut = np.unique(end, return_index=True)
+    for e, lo, hi in zip(places.tolist(), cut.tolist(), [*cut[1:].tolist(), len(end)], strict=True):
+        w = word[lo:hi]
+        x = logs[start[lo:hi], w] + weight[lo:hi]
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        most = np.maximum.reduceat(x, first)
+        total = np.add.reduceat(np.exp(x - np.repeat(most, np.diff(first, append=len(w)))), first)
+        logs[e, w[first]] = most + np.log(total)
+
+
+def expected(model: Model, at: int, held: list[str], counts: np.ndarray) -> np.ndarray:
+    """Expected counts of pieces in parts of words, so many of each, by the probabilities of language ``at`` (forward and backward)."""
+    size = np.array([len(x) for x in held], np.int64)
+    begin = np.cumsum(size + 1) - size - 1
+    end, length, piece = model._arcs("\n".join(held))
+    word = np.searchsorted(begin, end - 1, side="right") - 1
+    end = end - begin[word]
+    inside = end <= size[word]  # line feeds are a step beyond their word
+    word, end, length, piece = word[inside], end[inside], length[inside], piece[inside]
+    start, weight, longest = end - length, np.log(model.probs[:, at].astype(np.float64))[piece], int(size.max())
+    before, after = np.zeros((longest + 1, len(held))), np.zeros((longest + 1, len(held)))
+    _summed(start, end, word, weight, before)
+    # places are counted from each word's end
+    _summed(size[word] - end, size[word] - start, word, weight, after)
+    share = np.exp(before[start, word] + weight + after[size[word] - end, word] - before[size[word], word])
+    return np.bincount(piece % len(model.probs), counts[word] * share, len(model.probs))
+
+
 def _expected(model):
-    """Expected counts of pieces, by language, over words whose language is known (forward and backward)."""
+    """Expected counts of pieces, by language, over words whose language is known."""
 
     @alone("language")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        known, longest = pieces(m.vocabulary)
         got = np.zeros(m.probs.shape)
-        cols = [c.tolist() for c in m.probs.T]
         where = {lang: i for i, lang in enumerate(m.langs)}
         for batch in batches:
+            by: dict[str, list[tuple[str, int]]] = {}
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-                at = where[lang]
-                p = cols[at]
-                for part in parts(word):
-                    ends = arcs(part, known, longest)
-                    # each step's sum is its scale, so that long parts don't underflow
-                    alpha, scale = [1.0] + [0.0] * len(part), [1.0] * (len(part) + 1)
-                    for e, here in enumerate(ends, 1):
-                        x = 0.0
-                        for a, i in here:
-                            y = alpha[a] * p[i]
-                            for k in range(a + 1, e):
-                                y /= scale[k]
-                            x += y
-                        scale[e], alpha[e] = x, 1.0
-                    beta = [0.0] * len(part) + [1.0]
-                    for e in range(len(part), 0, -1):
-                        b = beta[e]
-                        for a, i in ends[e - 1]:
-                            x = p[i] * b
-                            for k in range(a + 1, e + 1):
-                                x /= scale[k]
-                            beta[a] += x
-                            got[i, at] += n * x
+                by.setdefault(lang, []).extend((part, n) for part in parts(word))
+            for lang, held in by.items():
+                held.sort(key=lambda x: len(x[0]))
+                while held:
+                    # all words of a group are padded to its longest one
+                    k = len(held)
+                    while k > 1 and (len(held[k - 1][0]) + 1) * k > TOGETHER:
+                        k = -(-k // 2)
+                    some, held = held[:k], held[k:]
+                    got[:, where[lang]] += expected(m, where[lang], [x for x, _ in some], np.array([n for _, n in some], np.float64))
         piece, lang = np.nonzero(got)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(piece, pa.int32()), pa.array(got[piece, lang])], ["l", "p", "n"])
 
     return run
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", vocabulary: str = VOCABULARY, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
-    """Fit on the ``sample`` rows of ``docs`` with a language whose ids' hashes are smallest (all if there are fewer).
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", vocabulary: str = VOCABULARY, sample: int | None = None, rounds: int = ROUNDS) -> Model:
+    """Fit on all rows of ``docs`` with a language, or if ``sample`` is given on those so many whose ids' hashes are smallest.
 
     To the driver come the languages' names and rounds x languages x pieces numbers.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("sample"), F.col(id_col)).alias("_h")).where("text is not null and lang is not null")
-    most = rows.select("_h").orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
+    most = None if sample is None else rows.select("_h").orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
     if most is not None:
         rows = rows.where(F.col("_h") <= most)
     counted = rows.select("text", "lang").mapInArrow(_words, "lang string, word string, n long")
@@ -336,8 +352,6 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
     known, _ = pieces(vocabulary)
     model = Model(vocabulary, langs, np.full((len(known) + 1, len(langs)), 1.0 / max(1, len(known)), np.float32))
-    # many short tasks: what a word costs is far more than its bytes
-    counted = counted.repartition(4 * spark.sparkContext.defaultParallelism)
     for _ in range(rounds if langs else 0):
         got = np.zeros(model.probs.shape)
         sums = counted.mapInArrow(_expected(spark.sparkContext.broadcast(model)), "l int, p int, n double")

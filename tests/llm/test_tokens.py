@@ -262,3 +262,39 @@ def test_query_is_right_on_held_out_rows(spark):
     rows = [r for r in got.collect() if r.held_out and want[r.doc_id] is not None]
     assert len(rows) > 100 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     assert sum(r.lang_pred == want[r.doc_id] for r in rows) >= 0.98 * len(rows)
+
+
+def test_language_is_fitted_on_all_labelled_rows(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, [f"word number{i % 50}" for i in range(3200)])
+    order = docs.selectExpr("doc_id", "xxhash64('sample', doc_id) h").orderBy("h").collect()
+    late = [r.doc_id for r in order[3100:]]
+    model = language.fit(docs.withColumn("lang", F.when(F.col("doc_id").isin(late), "fr").otherwise("en")), rounds=1)
+    assert model.langs == ["en", "fr"]
+
+
+def test_expected_counts_against_all_segmentations():
+    known, longest = language.pieces(language.VOCABULARY)
+    rng = np.random.default_rng(5)
+    probs = rng.random((len(known) + 1, 2)).astype(np.float32) ** 8 + np.float32(1e-12)
+    model = language.Model(language.VOCABULARY, ["a", "b"], probs)
+    held, counts = ["▁the", "▁und", "▁größer", "▁x\u0378y", "▁", "▁nation"], np.array([2.0, 1, 3, 1, 5, 4])
+    want = np.zeros(len(probs))
+    for word, n in zip(held, counts.tolist(), strict=True):
+        ways = [((), 1.0)]
+        done = []
+        while ways:
+            cut, p = ways.pop()
+            at = sum(size for _, size in cut)
+            if at == len(word):
+                done.append((cut, p))
+                continue
+            ends = [(known[word[at:e]], e - at) for e in range(at + 1, min(len(word), at + longest) + 1) if word[at:e] in known]
+            if not any(size == 1 for _, size in ends):
+                ends.append((-1, 1))
+            ways += [((*cut, end), p * float(probs[end[0], 1])) for end in ends]
+        for cut, p in done:
+            for i, _ in cut:
+                want[i] += n * p / sum(q for _, q in done)
+    assert np.allclose(language.expected(model, 1, held, counts), want, rtol=1e-9)
