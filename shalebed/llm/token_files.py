@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tokens import encoder, spans
+from .tokens import encoder, ended, spans
 from .workers import caching
 
 VOCABULARY = "word_bpe_49k.json"
@@ -33,16 +33,16 @@ BLOCK = 1024
 
 def _encoder(vocabulary: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, tail = TaskContext.get().partitionId(), 0, np.array([end], "<i4").tobytes()
+        part, at = TaskContext.get().partitionId(), 0
         with caching("tokens", encoder.cache_clear):
             enc = encoder(vocabulary)
             for batch in batches:
                 for lo, rows in spans(batch.column("_text")):
                     some = batch.slice(lo, rows)
-                    ids = [x + tail for x in enc.encode(some.column("_text").to_pylist())]
-                    n = np.array([len(x) // 4 for x in ids], np.int64)
-                    off = np.concatenate([[0], np.cumsum(n)])
-                    lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                    ids, ends = ended(*enc.flat(some.column("_text")), end)
+                    off = np.append(0, ends)
+                    n = np.diff(off)
+                    lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids))
                     yield pa.RecordBatch.from_arrays(
                         [some.column("_id"), lists, pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(at + off[:-1])],
                         ["doc_id", "ids", "n_tokens", "part", "at"],

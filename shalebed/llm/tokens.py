@@ -10,8 +10,10 @@ once by the library, and its ids kept. A text is cut twice:
   drop whitespace at every run of ASCII whitespace;
 * pieces that are new are cut by the split rule itself into units, if all of their code
   points are of blocks whose classes all versions of Unicode agree on, and the units that
-  are new are merged by the file's model, many in one call. Other pieces are encoded
-  whole by the library.
+  are new are merged by the file's model. Other pieces are encoded whole by the library.
+
+The pieces of a slice of texts are found, and their ids gathered, as Arrow columns: each
+distinct piece of the slice is looked up once.
 
 A text that holds the string of a special token is encoded whole by the library, and so
 are all texts of a file whose normaliser or split rule is none of the two known here.
@@ -26,6 +28,8 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +39,15 @@ import regex
 #: Pieces of one generation by default, and units of pieces for each; a Python worker keeps two generations (about 200 bytes an entry).
 PIECES, UNITS_A_PIECE = 300_000, 2 / 3
 _LONGEST = 64
+_ID = attrgetter("id")
 #: Whitespace other than one blank or line feed in front and single line feeds inside, between NUL signs: such pieces are not encoded with others.
 _ODD = r"(?<!\0) |\n[\n\0]|(?<=\0 )\n"
-_SEPARATORS = re.compile("[\x1c-\x1f]").search
-_CONTROLS = re.compile("[\t\v\f\r\x1c-\x1f]").search
-_NO_LINES = re.compile("\n\n|[\t\v\f\r\x1c-\x1f]").search
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ASCII_ODD = tuple(x for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f" for x in (c + " ", " " + c))
-_OTHER_BLANK = re.compile("[\x85\xa0  -     　]")
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: For Arrow: texts in which a blank may not stand between two signs that are not whitespace; texts whose line feeds may not.
+_NOT_PLAIN = r"\A | \z| [ \n\t\v\f\r\x1c-\x1f]|[\n\t\v\f\r\x1c-\x1f] |[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NO_LINES = r"\n\n|[\t\v\f\r\x1c-\x1f]"
+#: Bytes of a text that is cut by itself, not with others as columns.
+_TOGETHER = 64 << 20
 
 # The split rule of byte-level vocabularies, and the parts of the file of those with word ends.
 _BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,13 +62,6 @@ _WRITTEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _
 _BAR = chr(_WRITTEN[10])
 
 
-def _plain(text: str) -> bool:
-    """Whether each blank of a text stands between two signs that are not whitespace."""
-    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or _CONTROLS(text) and any(x in text for x in _ASCII_ODD):
-        return False
-    return text.isascii() or not _OTHER_BLANK.search(text)
-
-
 def resolve(vocabulary: str) -> str:
     """A path as it is; a bare name is looked up among the installed public vocabularies, on the machine that asks."""
     if os.sep in vocabulary:
@@ -75,7 +73,7 @@ def resolve(vocabulary: str) -> str:
 
 class Encoder:
     def __init__(self, vocabulary: str, pieces: int = PIECES):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = t = Tokenizer.from_file(resolve(vocabulary))
@@ -87,11 +85,11 @@ class Encoder:
         added = t.get_added_tokens_decoder().values()
         # one that is looked for in normalised text can't be told from the text
         self.whole = not (self.leads or words) or any(a.normalized for a in added)
-        self.special = re.compile("|".join(re.escape(a.content) for a in added)) if added else None
+        self.specials = [a.content for a in added]
         self.most, self.most_units = pieces, int(UNITS_A_PIECE * pieces)
         # what has been met since the last generation began, and what the one before it met
-        self.kept: dict[str | tuple, bytes] = {}
-        self.older: dict[str | tuple, bytes] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
         self.older_units: dict[str, bytes] = {}
         if not self.whole:
@@ -99,53 +97,93 @@ class Encoder:
             self.find = regex.compile(_BYTE_SPLIT if self.leads else _WORD_SPLIT + r"|\n").findall
             self.settled = re.compile(("[\x01-\x7f" if self.leads else "[\x21-\x7e") + _SETTLED + "]+").fullmatch
             self.alone = re.compile((f"{_ODD}|[^\0\n\x20-\x7e" if self.leads else "[^\0\x21-\x7e") + _SETTLED + "]").finditer
-            self.merger = Tokenizer(t.model)
-            self.merger.pre_tokenizer = pre_tokenizers.Split(_BAR, "isolated")
-            #: id of the sign that stands between units merged in one call; no unit among them holds it
-            (self.bar,) = self.merger.encode(_BAR, add_special_tokens=False).ids
-
-    def pieces(self, text: str) -> list:
-        if not self.leads:
-            if _SEPARATORS(text) or not text.isascii() and _OTHER_BLANK.search(text):
-                return [x.decode() for x in text.encode().split()]
-            return text.split()
-        if _plain(text):
-            # a line feed between two signs that are not whitespace is a unit too
-            parts = (text if _NO_LINES(text) else text.replace("\n", " \n")).split(" ")
-        else:
-            parts = _CUT.split(text)
-        parts[0] = (parts[0],)  # no blank stands before the first piece
-        return parts
+            self.model = t.model
+            #: id of a line feed, which is a unit by itself between pieces that are learnt together
+            (self.bar,) = [x.id for x in self.model.tokenize(_BAR)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers. A null text has none."""
-        apart = {i for i, t in enumerate(texts) if t and (self.whole or self.special and self.special.search(t))}
-        cut = [self.pieces(t) if t and i not in apart else [] for i, t in enumerate(texts)]
+        ids, ends = self.flat(pa.array(texts, pa.string()))
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where those of each text end. A null text has none."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        apart = pc.binary_length(texts).to_numpy() > (-1 if self.whole else _TOGETHER)
+        for s in self.specials:
+            apart |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        odd = apart if not self.leads else apart | pc.match_substring_regex(texts, _NOT_PLAIN).to_numpy(zero_copy_only=False)
+        words, counts = self._cut(texts.filter(pa.array(~odd)) if odd.any() else texts)
+        coded = words.dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # texts that are not cut as columns, with their pieces; one with a special token's string has none
+        rest = {i: self.pieces(texts[i].as_py()) if not self.whole and not self._special(texts[i].as_py()) else None for i in np.flatnonzero(odd).tolist()}
         if len(self.kept) > self.most:
             self.kept, self.older = {}, self.kept
-        todo = set().union(*cut).difference(self.kept)
+        found = list(map(self.kept.get, known))
+        todo = [p for p, x in zip(known, found, strict=True) if x is None]
+        if any(rest.values()):
+            todo = list(set(todo).union(*filter(None, rest.values())).difference(self.kept))
         if todo:
-            self.kept.update([(p, self.older[p]) for p in todo if p in self.older])
-            todo = todo.difference(self.older)
-            self._learn(todo)
-        get = self.kept.__getitem__
-        out = [b"".join(map(get, parts)) for parts in cut]
-        for i in apart:
-            out[i] = self._ids(texts[i])
-        for p in [p for p in todo if len(p) > _LONGEST or len(p) == 1 and len(p[0]) > _LONGEST]:
+            new = []
+            for p, x in zip(todo, map(self.older.get, todo), strict=True):
+                if x is None:
+                    new.append(p)
+                else:
+                    self.kept[p] = x
+            self._learn(new)
+            found = [self.kept[p] if x is None else x for p, x in zip(known, found, strict=True)]
+        taken = pa.array(found, pa.binary()).take(coded.indices)
+        at = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1) if len(taken) else np.zeros(1, np.int32)
+        ids = np.frombuffer(taken.buffers()[2] or b"", "<i4", at[-1] // 4)
+        ends = at[np.cumsum(counts)].astype(np.int64) // 4
+        if rest:
+            parts, others = [], iter(np.split(ids, ends[:-1]) if len(ends) else ())
+            for i in range(len(texts)):
+                if i not in rest:
+                    parts.append(next(others))
+                elif rest[i] is None:
+                    parts.append(np.frombuffer(self._ids(texts[i].as_py()), "<i4"))
+                else:
+                    parts.append(np.frombuffer(b"".join(map(self.kept.__getitem__, rest[i])), "<i4"))
+            ids, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        for p in [p for p in todo if len(p) > _LONGEST]:
             del self.kept[p]
-        return out
+        return ids, ends
+
+    def _special(self, text: str) -> bool:
+        return any(s in text for s in self.specials)
+
+    def pieces(self, text: str) -> list[str]:
+        """A text in pieces, whatever its whitespace."""
+        return _CUT.split(text) if self.leads else [x.decode() for x in text.encode().split()]
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, which for byte-level vocabularies must not match ``_NOT_PLAIN``, and how many each has."""
+        if not self.leads:
+            lists = pc.ascii_split_whitespace(texts)
+            return lists.flatten(), pc.list_value_length(lists).to_numpy()
+        if not len(texts):
+            return texts, np.zeros(0, np.int32)
+        # pieces begin at blanks, and at line feeds between two signs that are not whitespace: all lie in the texts' own bytes
+        at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8, at[-1] - at[0], int(at[0]))
+        at = at - at[0]
+        begins = (data == 32) | (data == 10)
+        for i in np.flatnonzero(pc.match_substring_regex(texts, _NO_LINES).to_numpy(zero_copy_only=False)).tolist():
+            begins[at[i] : at[i + 1]] = data[at[i] : at[i + 1]] == 32
+        begins[at[:-1][np.diff(at) > 0]] = True
+        begins = np.flatnonzero(begins).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, at[-1]).astype(np.int32)), pa.py_buffer(data))
+        return words, np.diff(np.searchsorted(begins, at))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4").tobytes()
 
-    def _learn(self, new: set) -> None:
-        leads = self.leads
-        first = [p for p in new if type(p) is tuple]
-        bulk = [p for p in new if type(p) is str] if first else list(new)
-        texts = [" " + p if p[:1] != "\n" else p for p in bulk] if leads else bulk[:]
-        bulk += first
-        texts += [p[0] for p in first]
+    def _learn(self, new: list[str]) -> None:
+        leads, bulk = self.leads, new
+        texts = bulk
         # pieces that aren't encoded with others are found in all of them at once
         joined = "\0".join(["", *texts, ""])
         apart = [m.start() for m in self.alone(joined)]
@@ -166,7 +204,7 @@ class Encoder:
         data = self._joined(self.find(text if leads else text.lower()), np.array([self.bar], "<i4").tobytes())
         bars = np.flatnonzero(np.frombuffer(data, "<i4") == self.bar)
         # line feeds inside a piece are units too, and have the same id as those between pieces
-        last = np.cumsum([t.count("\n") + 1 for t in texts])
+        last = np.cumsum([t.count("\n") + 1 for t in texts]) if text.count("\n") > len(texts) else np.arange(1, len(texts) + 1)
         if len(bars) != last[-1]:
             raise AssertionError("a line feed was not a unit by itself")
         ends = 4 * bars[last - 1]
@@ -179,15 +217,19 @@ class Encoder:
         todo = set(units).difference(self.units)
         if line:
             todo.discard("\n")
-        self.units.update([(u, self.older_units[u]) for u in todo if u in self.older_units])
-        todo = todo.difference(self.older_units)
-        self._merge(list(todo))
+        new = []
+        for u, x in zip(todo, map(self.older_units.get, todo), strict=True):
+            if x is None:
+                new.append(u)
+            else:
+                self.units[u] = x
+        self._merge(new)
         if line:
             self.units["\n"] = line
         out = b"".join(map(self.units.__getitem__, units))
         if line:
             del self.units["\n"]
-        for u in todo:
+        for u in new:
             if len(u) > _LONGEST:
                 del self.units[u]
         return out
@@ -198,17 +240,23 @@ class Encoder:
         for u in lines:
             self.units[u] = self._ids(u)
         some.sort(key=str.isascii)
-        for at in range(0, len(some), 256):
-            part = some[at : at + 256]
-            written = "\n".join([*part, ""])
+        for at in range(0, len(some), 1024):
+            part = some[at : at + 1024]
+            written = "\n".join(part)
             if written.isascii() and written.replace("\n", "").isprintable():
-                written = written.replace(" ", chr(_WRITTEN[32])).replace("\n", _BAR)
+                written = written.replace(" ", chr(_WRITTEN[32])).split("\n")
             else:
-                written = written.encode().decode("latin-1").translate(_WRITTEN)
-            ids = np.array(self.merger.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<i4")
-            ends = 4 * np.flatnonzero(ids == self.bar)
-            data = ids.tobytes()
-            self.units.update(zip(part, [data[a:b] for a, b in zip([0, *(ends + 4).tolist()], ends.tolist())], strict=True))
+                written = written.encode().decode("latin-1").translate(_WRITTEN).split(_BAR)
+            # the model alone, without the library's record of where each sign of a text came from
+            merged = list(map(self.model.tokenize, written))
+            data = np.fromiter(map(_ID, chain.from_iterable(merged)), "<i4").tobytes()
+            ends = (4 * np.cumsum(list(map(len, merged)))).tolist()
+            self.units.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+
+def ended(ids: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :meth:`Encoder.flat`, with the id ``end`` after each text."""
+    return np.insert(ids, ends, end), ends + np.arange(1, len(ends) + 1)
 
 
 @lru_cache(4)
@@ -217,7 +265,7 @@ def encoder(vocabulary: str, pieces: int = PIECES) -> Encoder:
 
 
 #: Rows and bytes of text that are encoded together (a longer single text is encoded by itself).
-ROWS, BYTES = 2048, 2 << 20
+ROWS, BYTES = 4096, 6 << 20
 
 
 def spans(texts: pa.Array) -> Iterator[tuple[int, int]]:

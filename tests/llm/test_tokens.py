@@ -62,6 +62,33 @@ def test_small_caches_give_the_same():
                     assert np.frombuffer(x, "<i4").tolist() == whole(v, t)
 
 
+class Counted(dict):
+    """Counts how often a key is asked for."""
+
+    asked = 0
+
+    def get(self, *a):
+        Counted.asked += 1
+        return super().get(*a)
+
+    def __getitem__(self, key):
+        Counted.asked += 1
+        return super().__getitem__(key)
+
+
+def looked_up(vocabulary):
+    e, text = tokens.Encoder(vocabulary), "one two\nthree, four  five" if vocabulary.startswith("word") else "one two\nthree, four five"
+    e.encode([text])
+    e.kept, Counted.asked = Counted(e.kept), 0
+    got = e.encode([text] * 500 + [None, "", "x <|endoftext|> y", " two"])
+    assert got == e.encode([text]) * 500 + [b"", b""] + [np.array(whole(vocabulary, t), "<i4").tobytes() for t in ("x <|endoftext|> y", " two")]
+    return Counted.asked
+
+
+def test_a_word_of_a_slice_is_looked_up_once():
+    assert looked_up("word_bpe_49k.json") < 50
+
+
 def test_an_unknown_file_is_encoded_whole(tmp_path):
     t = Tokenizer.from_file(tokens.resolve("byte_bpe_50k.json"))
     from tokenizers import normalizers
