@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import PIECES, encoder, spans
+from .tokens import BYTES, PIECES, encoder, ended, spans
 from .workers import caching
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -46,32 +46,32 @@ def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 
 def _packer(vocabulary: str, end: int, length: int, pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tail, seen = TaskContext.get().partitionId(), np.array([end], "<i4").tobytes(), {}
+        part, seen = TaskContext.get().partitionId(), {}
         if part >> 24:
             raise ValueError("more tasks than sequence numbers have room for")
         with caching("tokens", encoder.cache_clear):
             enc = encoder(vocabulary, pieces)
             for batch in batches:
-                for lo, rows in spans(batch.column("_text")):
+                # with a smaller cache, for memory, smaller slices too
+                for lo, rows in spans(batch.column("_text"), min(BYTES, max(1 << 20, BYTES * pieces // PIECES))):
                     some = batch.slice(lo, rows)
-                    doc, start, size, crc, total, number, ids = [], [], [], [], [], [], []
-                    for i, x in enumerate(enc.encode(some.column("_text").to_pylist())):
-                        x += tail
-                        n = len(x) // 4
+                    ids, ends = ended(*enc.flat(some.column("_text")), end)
+                    data, at, ends = memoryview(ids).cast("B"), 0, ends.tolist()
+                    doc, start, size, crc, total, number = [], [], [], [], [], []
+                    for i, n in enumerate(b - a for a, b in zip([0, *ends], ends, strict=False)):
                         for a, m in cuts(n, length):
-                            piece = x[4 * a : 4 * (a + m)]
                             rank = seen.get(m, 0)
                             seen[m] = rank + 1
                             doc.append(i)
                             start.append(a)
                             size.append(m)
-                            crc.append(zlib.crc32(piece))
+                            crc.append(zlib.crc32(data[4 * at : 4 * (at + m)]))
+                            at += m
                             total.append(n)
                             number.append((m.bit_length() - 1) << 56 | part << 32 | rank)
-                            ids.append(piece)
                     off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                     cols = [some.column("_id").take(pa.array(doc, pa.int32())), *(pa.array(c, pa.int64()) for c in (start, size, crc, total, number, [0] * len(doc)))]
-                    cols.append(pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                    cols.append(pa.ListArray.from_arrays(pa.array(off), pa.array(ids)))
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     return run

@@ -268,12 +268,12 @@ def encoder(vocabulary: str, pieces: int = PIECES) -> Encoder:
 ROWS, BYTES = 4096, 6 << 20
 
 
-def spans(texts: pa.Array) -> Iterator[tuple[int, int]]:
+def spans(texts: pa.Array, most: int = BYTES) -> Iterator[tuple[int, int]]:
     """(first row, rows) of consecutive runs of texts of bounded size."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if i > first and (held + n > BYTES or i - first == ROWS):
+        if i > first and (held + n > most or i - first == ROWS):
             yield first, i - first
             first, held = i, 0
         held += n

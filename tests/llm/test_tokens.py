@@ -89,6 +89,10 @@ def test_a_word_of_a_slice_is_looked_up_once():
     assert looked_up("word_bpe_49k.json") < 50
 
 
+def test_a_piece_of_a_slice_is_looked_up_once():
+    assert looked_up("byte_bpe_50k.json") < 50
+
+
 def test_an_unknown_file_is_encoded_whole(tmp_path):
     t = Tokenizer.from_file(tokens.resolve("byte_bpe_50k.json"))
     from tokenizers import normalizers
