@@ -53,7 +53,7 @@ def _packer(vocabulary: str, end: int, length: int, pieces: int):
             enc = encoder(vocabulary, pieces)
             for batch in batches:
                 # with a smaller cache, for memory, smaller slices too
-                for lo, rows in spans(batch.column("_text"), min(BYTES, max(1 << 20, BYTES * pieces // PIECES))):
+                for lo, rows in spans(batch.column("_text"), BYTES if pieces >= PIECES else 1 << 20):
                     some = batch.slice(lo, rows)
                     ids, ends = ended(*enc.flat(some.column("_text")), end)
                     data, at, ends = memoryview(ids).cast("B"), 0, ends.tolist()
