@@ -16,7 +16,9 @@ head lacks, and by those that the head has and members miss (:func:`_indexed`),
 way. Each level leaves out the heads of the one before, so this ends; no bucket is ever
 too large. So each pair of a bucket is compared, or in one component already, or can't
 be a link; the components are those of comparing all pairs. The sieve is part of the
-join condition. Components grow from level to level: only new links, between the labels
+join condition. Pairs that pass it are compared by the parities of their whole sets
+(:func:`parities`), which bound from below how much they differ, so no link is lost;
+full sets move only for pairs that are left. Components grow from level to level: only new links, between the labels
 that are there already, are followed.
 
 Defined results: a document without words (or a null text) has no shingles and is
@@ -117,6 +119,28 @@ def signatures(h: np.ndarray, off: np.ndarray, n_bands: int, n_rows: int) -> tup
     return digest, bands, sketch
 
 
+def parities(h: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Of each set, which hashes modulo n are odd in number, as n bits: its size up to the next power of two (8 at least)."""
+    size = np.diff(off)
+    n = np.array([max(8, 1 << (k - 1).bit_length()) for k in size.tolist()], np.int64)
+    at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    doc = np.repeat(np.arange(len(size)), size)
+    place = at[doc] + (h & (n[doc] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(place, minlength=int(at[-1])) & 1).astype(np.uint8), bitorder="little")
+    return [bits[a:b].tobytes() for a, b in zip(at[:-1] // 8, at[1:] // 8, strict=True)]
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """How many shingles are in one of two sets only, at least: each turns one bit over."""
+    if len(x) < len(y):
+        x, y = y, x
+    n, bits = 8 * len(x), int.from_bytes(x, "little")
+    while n > 8 * len(y):
+        n //= 2
+        bits = (bits >> n) ^ (bits & ((1 << n) - 1))
+    return (bits ^ int.from_bytes(y, "little")).bit_count()
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -154,7 +178,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, texts in slices(batch.column("_text")):
             h, off = shingle_sets(texts)
             some = [batch.column(c).slice(start, len(texts)) for c in ("node", *_S)]
-            yield pa.RecordBatch.from_arrays([*some, pa.array([h[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["node", *_S, "shingles"])
+            told = [pa.array(np.diff(off)), pa.array(parities(h, off), pa.binary()), pa.array([h[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*some, *told], ["node", *_S, "size", "parity", "shingles"])
+
+
+def _may_be(threshold: int):
+    @alone("near_dup")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n, m = (batch.column(c).to_pylist() for c in ("x", "y", "n", "m"))
+            # with d shingles in one set only, the union has (n + m + d) / 2 and the intersection (n + m - d) / 2
+            keep = [(100 + threshold) * max(abs(p - q), least_apart(a, b)) <= (100 - threshold) * (p + q) for a, b, p, q in zip(x, y, n, m, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _confirm(threshold: int):
@@ -174,25 +211,36 @@ def _confirm(threshold: int):
 
 
 def full_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, its sketch words and its shingle hashes (sorted, as bytes) of every node. texts: _id and _text.
+    """node, its sketch words, size, parities and shingle hashes (sorted, as bytes) of every node. texts: _id and _text."""
+    held = _among(texts, "_id", nodes).join(nodes, F.col("_id") == F.col("node")).dropDuplicates(["node"])
+    return held.select("node", *_S, "_text").mapInArrow(_sets, "node long, " + ", ".join(f"{s} long" for s in _S) + ", size long, parity binary, shingles binary")
 
-    Texts whose id has the residue of no node stay where they are; at most ``RESIDUES``
-    numbers are broadcast for that, however many nodes there are.
+
+def _among(rows: DataFrame, col: str, nodes: DataFrame) -> DataFrame:
+    """``rows`` but those whose id in ``col`` has the residue of no node, which stay where they are.
+
+    At most ``RESIDUES`` numbers are broadcast for that, however many nodes there are.
     """
     residue = lambda c: F.pmod(F.xxhash64(c), F.lit(RESIDUES))
-    near = texts.join(F.broadcast(nodes.select(residue("node").alias("_r")).distinct()), residue("_id") == F.col("_r"), "left_semi")
-    held = near.join(nodes, F.col("_id") == F.col("node")).dropDuplicates(["node"])
-    return held.select("node", *_S, "_text").mapInArrow(_sets, "node long, " + ", ".join(f"{s} long" for s in _S) + ", shingles binary")
+    return rows.join(F.broadcast(nodes.select(residue("node").alias("_r")).distinct()), residue(col) == F.col("_r"), "left_semi")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b and more) with the sets x of a and y of b."""
-    x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    """``pairs`` (a, b and more) with the sets x of a and y of b. Sets that no pair names aren't moved."""
+    some = _among(sets, "node", pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    x, y = (some.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
     return pairs.join(x, "a").join(y, "b")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b: node ids) whose full shingle sets are alike enough."""
+def possible(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The pairs (a, b: node ids) but those whose sizes or parities tell that they are no links; none that is one is lost."""
+    x, y = (sets.select(F.col("node").alias(c), F.col("parity").alias(p), F.col("size").alias(n)) for c, p, n in (("a", "x", "n"), ("b", "y", "m")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_may_be(threshold), "a long, b long")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
+    """The pairs (a, b: node ids) whose full shingle sets are alike enough. Sets are moved only for pairs that are :func:`possible`."""
+    pairs = scratch.stage(possible(pairs, sets, threshold), "near-pairs")
     return _with_sets(pairs, sets).select("a", "b", "x", "y").mapInArrow(_confirm(threshold), "a long, b long")
 
 
@@ -276,7 +324,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     comp = links = None
     while True:
         rows = scratch.stage(_sketched(keys, sketches, sieve), "near-buckets")
-        star = scratch.stage(confirmed(rows.where("near and node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), sets, threshold), "near-links")
+        star = scratch.stage(confirmed(rows.where("near and node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), sets, scratch, threshold), "near-links")
         comp = grown(comp, star if links is None else star.union(links), scratch, one_task)
         split = scratch.stage(_split(rows, comp), "near-rest")
         sizes = {r["big"]: r["count"] for r in split.groupBy((F.col("work") > dense * dense).alias("big")).count().collect()}
@@ -286,7 +334,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         if True in sizes:
             index = scratch.stage(_indexed(split.where(F.col("work") > dense * dense).select("head", "node", "comp").distinct(), sets, threshold), "near-index")
             pairs = pairs.union(_by_center(index, sketches, sieve, threshold))
-        links = scratch.stage(confirmed(pairs.distinct(), sets, threshold), "near-links")
+        links = scratch.stage(confirmed(pairs.distinct(), sets, scratch, threshold), "near-links")
         if True in sizes:
             keys = scratch.stage(_shared(index.where(F.col("kind") == LACKED).select("node", F.xxhash64("head", "x").alias("key"))), "near-keys")
         if True not in sizes or keys.isEmpty():

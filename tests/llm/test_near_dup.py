@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from odd import ODD, PROSE, documents
@@ -141,6 +142,67 @@ def test_index_of_a_large_group_keeps_links_and_makes_few_pairs(spark):
     assert len(got) < (len(texts) - len(own)) * len(texts) / 2
 
 
+@pytest.mark.parametrize("threshold", [50, 85, 95])
+def test_parities_lose_no_link_and_few_others_pass(spark, threshold):
+    rng = random.Random(threshold)
+    texts = ["", "a b", "A  B", "a b c d e", "x y z"]
+    for n in (6, 40, 150, 700, 3000):
+        base = [f"b{n}w{i}" for i in range(n)]
+        texts.append(" ".join(base))
+        for k in range(20):
+            copy = base[rng.randrange(1 + n // 2) :] if k % 4 == 0 else list(base)
+            for _ in range(rng.randrange(1 + n // rng.choice([12, 25, 50]))):
+                copy[rng.randrange(len(copy))] = f"n{rng.random()}"
+            texts.append(" ".join(copy))
+    h, off = near_dup.shingle_sets([t.encode() for t in texts])
+    odd = near_dup.parities(h, off)
+    sets = [set(h[a:b].tolist()) for a, b in zip(off, off[1:])]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and sets[j]]
+    assert all(near_dup.least_apart(odd[i], odd[j]) == near_dup.least_apart(odd[j], odd[i]) <= len(sets[i] ^ sets[j]) for i, j in pairs)
+    docs = documents(spark, texts).selectExpr("doc_id as _id", "text as _text")
+    full = near_dup.full_sets(docs, docs.selectExpr("_id as node", *(f"0L as {s}" for s in near_dup._S))).cache()
+    got = {tuple(r) for r in near_dup.possible(spark.createDataFrame(pairs, "a long, b long"), full, threshold).collect()}
+    share = lambda i, j, t: 100 * len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])
+    want = {(i, j) for i, j in pairs if share(i, j, threshold)}
+    assert want <= got and len(want) > 50
+    # small sets have few bits, and a low threshold allows more shingles apart than bits can tell
+    assert threshold < 85 or not [p for p in got if not share(*p, threshold - 15) and min(len(sets[p[0]]), len(sets[p[1]])) > 100]
+
+
+def shuffled(spark):
+    """Bytes written to exchanges so far."""
+    time.sleep(0.5)
+    spark.range(1).count()  # the figures are brought up to date by a later job
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    held = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(held.apply(i).totalShuffleWrite() for i in range(held.length()))
+
+
+def test_sets_are_moved_for_links_not_for_all_candidates(spark):
+    rng = random.Random(2)
+    texts = []
+    for g in range(4):  # 78 percent alike: the sketches let many pairs pass that are no links
+        base = [f"g{g}w{i}" for i in range(1000)]
+        for _ in range(40):
+            copy = list(base)
+            for i in rng.sample(range(1000), 13):
+                copy[i] = f"n{rng.random()}"
+            texts.append(" ".join(copy))
+    texts += [texts[0] + " more", texts[50] + " more"]
+    docs = documents(spark, texts).cache()
+    want = brute(texts, list(range(len(texts))))
+    wide = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.find(docs).collect()}
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", wide)
+    assert got == want
+    assert moved < 2 * 8 * sum(n for n, _ in want.values())
+
+
 def test_odd_tables(spark):
     assert near_dup.find(documents(spark, [])).count() == 0
     got = near_dup.find(documents(spark, ["a b c", "a b c", None], ids=[4, 4, None])).collect()
