@@ -9,17 +9,18 @@ The shape of the bands and the bits that may differ follow from the threshold
 
 Links are found without listing the pairs of a bucket. First each bucket's most central
 member (the one in the fullest buckets), its head, is compared with the others. Buckets that then still hold more
-than one component are looked at again. In those of up to ``DENSE`` members, members
-outside the head's component are compared with every member of other components. A
-larger bucket is dealt into smaller ones by the shingles that its members have and its
-head lacks, and by those that the head has and members miss (:func:`_indexed`), which keeps every link, and these are treated in the same
-way. Each level leaves out the heads of the one before, so this ends; no bucket is ever
-too large. So each pair of a bucket is compared, or in one component already, or can't
-be a link; the components are those of comparing all pairs. The sieve is part of the
-join condition. Pairs that pass it are compared by the parities of their whole sets
-(:func:`parities`), which bound from below how much they differ, so no link is lost;
-full sets move only for pairs that are left. Components grow from level to level: only new links, between the labels
-that are there already, are followed.
+than one component are looked at again: members outside the head's component are
+compared with every member of other components. In those of up to ``DENSE`` members a
+join does that, with the sieve in its condition. Pairs that pass it are compared by the
+parities of their whole sets (:func:`parities`), which bound from below how much they
+differ, so no link is lost; full sets move only for pairs that are left. The members of
+larger buckets meet in tiles of two blocks of bounded size each (:func:`_tiled`), with
+their full sets, once for all buckets of one head: there a pair that isn't near costs a
+few machine words, a link joins two components at once, and pairs of one component are
+passed over. So each pair of a bucket is compared, or in one component already; the
+components are those of comparing all pairs, after two rounds however large a group is.
+Components grow from round to round: only new links, between the labels that are there
+already, are followed.
 
 Defined results: a document without words (or a null text) has no shingles and is
 linked with nothing; one with fewer than five words has its whole sequence as its only
@@ -32,7 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .staging import Scratch
 from .words import flat_hashes, mixed, rolling, slices, window_starts
-from .workers import alone
+from .workers import alone, caching
 
 SHINGLE = 5
 SAMPLES = 126
@@ -49,8 +50,12 @@ SKETCH_WORDS = 4
 THRESHOLD = 85
 #: Probabilities of losing a pair just at the threshold, by the bands and by the sieve.
 MISS, SIEVED = 5e-5, 2e-5
-#: A bucket's components are compared pair by pair if its members outside the head's component times all are this squared at most; others are dealt into smaller ones first.
+#: A bucket's components are compared by a join if its members outside the head's component times all are this squared at most; others in tiles.
 DENSE = 128
+#: Bytes of full sets of a block of members that are compared in a tile, which holds two (a longer single set makes its own block).
+BLOCK_BYTES = 8 << 20
+#: Bits of the parities by which members of a tile are compared.
+WIDE = 4096
 #: Links up to which components are found in one task.
 ONE_TASK = 1 << 20
 #: Residues of ids by which texts are sieved before they are sent: the bound of that broadcast.
@@ -310,7 +315,7 @@ def _apart(a: str, b: str):
     return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _S[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, dense: int = DENSE, one_task: int = ONE_TASK) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, dense: int = DENSE, one_task: int = ONE_TASK, block: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every row."""
     scratch = Scratch(docs.sparkSession)
     sieve = shape(threshold)[2]
@@ -321,25 +326,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     keys = scratch.stage(_shared(kinds.select("node", F.posexplode("bands").alias("i", "band")).select("node", F.xxhash64("i", "band").alias("key"))), "near-keys")
     sets = scratch.stage(full_sets(texts, kinds.select("node", *_S).join(keys, "node", "left_semi")), "near-sets")
     sketches = sets.select("node", *_S)
-    comp = links = None
-    while True:
-        rows = scratch.stage(_sketched(keys, sketches, sieve), "near-buckets")
-        star = scratch.stage(confirmed(rows.where("near and node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), sets, scratch, threshold), "near-links")
-        comp = grown(comp, star if links is None else star.union(links), scratch, one_task)
-        split = scratch.stage(_split(rows, comp), "near-rest")
-        sizes = {r["big"]: r["count"] for r in split.groupBy((F.col("work") > dense * dense).alias("big")).count().collect()}
-        if not sizes:
-            break
+    rows = scratch.stage(_sketched(keys, sketches, sieve), "near-buckets")
+    star = scratch.stage(confirmed(rows.where("near and node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), sets, scratch, threshold), "near-links")
+    comp = grown(None, star, scratch, one_task)
+    split = scratch.stage(_split(rows, comp), "near-rest")
+    sizes = {r["big"] for r in split.select((F.col("work") > dense * dense).alias("big")).distinct().collect()}
+    links = []
+    if False in sizes:
         pairs = _across(split.where(F.col("work") <= dense * dense), sieve)
-        if True in sizes:
-            index = scratch.stage(_indexed(split.where(F.col("work") > dense * dense).select("head", "node", "comp").distinct(), sets, threshold), "near-index")
-            pairs = pairs.union(_by_center(index, sketches, sieve, threshold))
-        links = scratch.stage(confirmed(pairs.distinct(), sets, scratch, threshold), "near-links")
-        if True in sizes:
-            keys = scratch.stage(_shared(index.where(F.col("kind") == LACKED).select("node", F.xxhash64("head", "x").alias("key"))), "near-keys")
-        if True not in sizes or keys.isEmpty():
-            comp = grown(comp, links, scratch, one_task)
-            break
+        links.append(scratch.stage(confirmed(pairs.distinct(), sets, scratch, threshold), "near-links"))
+    if True in sizes:
+        links.append(scratch.stage(_tiled(split.where(F.col("work") > dense * dense), sets, scratch, sieve, threshold, block), "near-links"))
+    if links:
+        comp = grown(comp, reduce(DataFrame.union, links), scratch, one_task)
     scratch.clear()
     ends = signed.select("doc_id", "n_shingles", "d0", "d1").join(kinds.select("d0", "d1", "node"), ["d0", "d1"], "left")
     out = ends.join(comp, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id")).alias("component_id"))
@@ -382,6 +381,72 @@ def _across(split: DataFrame, sieve: int) -> DataFrame:
     return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
+def _tiled(split: DataFrame, sets: DataFrame, scratch: Scratch, sieve: int, threshold: int, block: int) -> DataFrame:
+    """Links (a, b) between components of the members of ``split``, all buckets of one head together, as far as a tile needs them to join what is alike.
+
+    A head's members are dealt into blocks of about ``block`` bytes of sets, those outside
+    its component into the first ones. Each of these meets itself and every other block.
+    """
+    told = split.select("head", "node", "comp", (F.col("comp") != F.col("top")).alias("out")).distinct()
+    members = scratch.stage(told.join(_among(sets, "node", told).select("node", "size"), "node"), "near-members")
+    count = lambda out: F.ceil(F.coalesce(F.sum(F.when(F.col("out") == out, F.col("size") * 8)), F.lit(0)) / block)
+    blocks = members.groupBy("head").agg(count(True).alias("n_out"), count(False).alias("n_own"))
+    at = F.when(F.col("out"), F.pmod(F.xxhash64("node"), "n_out")).otherwise(F.col("n_out") + F.pmod(F.xxhash64("node"), "n_own"))
+    dealt = members.join(blocks, "head").withColumn("at", at)
+    meets = F.sequence(F.lit(0).cast("long"), F.when(F.col("out"), F.col("n_out") + F.col("n_own")).otherwise(F.col("n_out")) - 1)
+    tiles = dealt.withColumn("other", F.explode(meets)).select("node", "head", "comp", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), (F.col("at") <= F.col("other")).alias("left"))
+    held = tiles.join(_among(sets, "node", members).select("node", *_S, "shingles"), "node")
+    return held.select("head", "lo", "hi", "left", "node", "comp", *_S, "shingles").groupBy("head", "lo", "hi").applyInArrow(_tile(sieve, threshold), "a long, b long")
+
+
+def wide_parities(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """As :func:`parities`, but of ``WIDE`` bits for each set: a matrix of words."""
+    out = np.zeros((len(off) - 1, WIDE // 64), np.uint64)
+    for i in range(0, len(out), 256):
+        part = off[i : i + 257]
+        place = np.repeat(np.arange(len(part) - 1) * WIDE, np.diff(part)) + (h[part[0] : part[-1]] & np.uint64(WIDE - 1)).astype(np.int64)
+        odd = (np.bincount(place, minlength=(len(part) - 1) * WIDE) & 1).astype(np.uint8)
+        out[i : i + 256] = np.packbits(odd, bitorder="little").view(np.uint64).reshape(-1, WIDE // 64)
+    return out
+
+
+def _tile(sieve: int, threshold: int):
+    apart = lambda x, y: np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+
+    def links(node: np.ndarray, comp: np.ndarray, left: np.ndarray, sketch: np.ndarray, h: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
+        wide, size = wide_parities(h, off), np.diff(off)
+        short = np.bitwise_xor.reduce(wide.reshape(len(wide), 8, -1), axis=1)
+        label = np.unique(comp, return_inverse=True)[1]
+        first, rest = np.flatnonzero(left), np.flatnonzero(~left)
+        words = [np.ascontiguousarray(sketch[rest if len(rest) else first, k]) for k in range(SKETCH_WORDS)]
+        for n, i in enumerate(first):
+            # a block that meets itself: those that come later
+            others, held = (rest, words) if len(rest) else (first[n + 1 :], [w[n + 1 :] for w in words])
+            bits = sum(np.bitwise_count(w ^ sketch[i, k]) for k, w in enumerate(held[1:], 1)) + np.bitwise_count(held[0] ^ sketch[i, 0]).astype(np.uint16)
+            j = others[(bits <= sieve) & (label[others] != label[i])]
+            most = ((100 - threshold) * (size[j] + size[i])) // (100 + threshold)
+            near = (np.abs(size[j] - size[i]) <= most) & (apart(short[j], short[i]) <= most)
+            j, most = j[near], most[near]
+            for k in j[apart(wide[j], wide[i]) <= most]:
+                if label[k] != label[i]:
+                    both = np.sort(np.concatenate([h[off[i] : off[i + 1]], h[off[k] : off[k + 1]]]))
+                    same = int((both[1:] == both[:-1]).sum())
+                    if 100 * same >= threshold * (len(both) - same):
+                        label[label == label[k]] = label[i]
+                        yield node[i], node[k]
+
+    def run(tile: pa.Table) -> pa.Table:
+        with caching("near_dup"):
+            col = lambda c: tile.column(c).to_numpy()
+            raw = [memoryview(x.as_buffer()) for x in tile.column("shingles")]
+            off = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
+            sketch = np.stack([col(s) for s in _S], 1).view(np.uint64)
+            found = list(links(col("node"), col("comp"), col("left"), sketch, np.frombuffer(b"".join(raw), np.uint64), off))
+        return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
 #: Kinds of rows of the index: a shingle that the head lacks, one of the head's that a node has, and those that it misses, all or as many as another's must meet.
 LACKED, HELD, MISSED, MET = range(4)
 

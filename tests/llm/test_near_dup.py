@@ -109,6 +109,64 @@ def test_large_buckets_against_all_pairs(spark):
     assert len({c for _, c in want.values()}) > 20
 
 
+def variants(rng, g, n):
+    """``n`` edited copies of one text, of which about half are too far from it, and a second group among them."""
+    base, texts = [f"g{g}w{i}" for i in range(150)], []
+    for k in range(n):
+        copy = list(base)
+        if k % 6 == 0:  # near to each other, not to the others
+            copy[100:] = [f"g{g}v{i}" for i in range(60)]
+        for _ in range(rng.choice([0, 1, 2, 3, 6, 10, 15, 20])):
+            i = rng.randrange(len(copy))
+            copy[i : i + 1] = [f"g{g}w{rng.randrange(150)}"] if rng.random() < 0.7 else []
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_a_large_group_takes_two_rounds_and_few_pairs_leave_its_tiles(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = variants(rng, 0, 260) + variants(rng, 1, 60)
+    made, stage = [], near_dup.Scratch.stage
+
+    def told(self, df, name, kept=False):
+        made.append(name)
+        return stage(self, df, name, kept)
+
+    monkeypatch.setattr(near_dup.Scratch, "stage", told)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.find(documents(spark, texts), dense=4).collect()}
+    assert got == brute(texts, list(range(len(texts))))
+    # levels that each left out one head of a bucket would be many
+    assert made.count("near-buckets") == 1
+
+
+@pytest.mark.parametrize("threshold, block", [(85, 20_000), (85, 1 << 20), (60, 40_000)])
+def test_tiles_join_what_comparing_all_pairs_joins(spark, threshold, block):
+    rng = random.Random(13)
+    texts = variants(rng, 0, 100) + variants(rng, 1, 30)
+    full = near_dup.full_sets(*(lambda d: (d, d.selectExpr("_id as node", *(f"0L as {s}" for s in near_dup._S))))(documents(spark, texts).selectExpr("doc_id as _id", "text as _text"))).cache()
+    h, off = near_dup.shingle_sets([t.encode() for t in texts])
+    sets = [set(h[a:b].tolist()) for a, b in zip(off, off[1:])]
+    link = lambda i, j: 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])
+    # those linked with the head are one component already
+    comp = {i: head if link(i, head) else i for head, r in ((0, range(100)), (100, range(100, 130))) for i in r}
+    members = spark.createDataFrame([(0 if i < 100 else 100, i, c, 0 if i < 100 else 100) for i, c in comp.items()] * 2, "head long, node long, comp long, top long")
+    scratch = near_dup.Scratch(spark)
+    got = [tuple(r) for r in near_dup._tiled(members, full, scratch, 256, threshold, block).collect()]
+    assert all(link(*p) and comp[p[0]] != comp[p[1]] for p in got)
+
+    def joined(pairs):
+        label = dict(comp)
+        for a, b in pairs:
+            old, new = label[a], label[b]
+            label |= {i: new for i, c in label.items() if c == old}
+        return {frozenset(i for i in label if label[i] == c) for c in label.values()}
+
+    every = [(i, j) for r in (range(100), range(100, 130)) for i in r for j in r if i < j and link(i, j)]
+    assert joined(got) == joined(every) and len(joined(every)) > 10
+    # a link is told where it joins two components of a tile, not for each pair
+    assert len(got) < len([p for p in every if comp[p[0]] != comp[p[1]]]) / 2
+
+
 def test_index_of_a_large_group_keeps_links_and_makes_few_pairs(spark):
     rng = random.Random(8)
     base = [f"w{i}" for i in range(300)]
