@@ -332,8 +332,7 @@ def random_access_rows(spark, sf):
     """Every page by its position, last one first, in one request."""
     src = _src(spark, sf, "pages").withColumn("html", F.col("html").cast("binary"))
     rows = RandomAccess(_table(spark, sf, "pages", ["page_id"], ["html"], src), "html")
-    ids = [r[0] for r in src.select("page_id").orderBy(F.desc("page_id")).collect()]
-    return spark.createDataFrame(list(zip(ids, (b.decode() for b in rows[::-1]), strict=True)), "page_id long, html string")
+    return rows.frame(spark.range(len(rows)).select(-1 - F.col("id"))).withColumn("html", F.col("html").cast("string"))
 
 
 @query("SELECT page_id, url FROM pages")

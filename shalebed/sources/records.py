@@ -85,7 +85,8 @@ class RandomAccess(Sequence):
 
     The addresses lie in order in files below the table; here is one number for each of
     those files' parts. A request reads the addresses asked for, and then the record files
-    they point into, many at once for a list. :meth:`close` removes the addresses.
+    they point into, many at once for a list. What is asked for so comes to the driver;
+    :meth:`frame` answers a request of any size. :meth:`close` removes the addresses.
     """
 
     def __init__(self, dataset, fields: list[str] | str, order_by: list[str] | None = None, load: Callable[[bytes], Any] | None = None):
@@ -94,7 +95,7 @@ class RandomAccess(Sequence):
         self.folder, spark = f"tmp/addresses-{uuid.uuid4().hex}", dataset.spark
         order = [f"`{c}`" for c in order_by or dataset.primary_keys]
         rows = dataset.read(fields=[*dataset.primary_keys, *self.fields], reference_read=True).orderBy(*order)
-        rows.select(F.monotonically_increasing_id().alias("_at"), *(F.col(f"`{f}`").alias(f"_{i}") for i, f in enumerate(self.fields))).write.parquet(f"{dataset.location}/{self.folder}")
+        rows.select(F.monotonically_increasing_id().alias("_at"), F.struct(*(f"`{k}`" for k in dataset.primary_keys)).alias("_key"), *(F.col(f"`{f}`").alias(f"_{i}") for i, f in enumerate(self.fields))).write.parquet(f"{dataset.location}/{self.folder}")
         self.rows = spark.read.parquet(f"{dataset.location}/{self.folder}")
         parts = self.rows.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count(F.lit(1)), F.min("_at")).orderBy("p").collect()
         self.ends, self.firsts = list(itertools.accumulate(r[1] for r in parts)), [r[2] for r in parts]
@@ -122,5 +123,21 @@ class RandomAccess(Sequence):
         rows = [found[0][w] if len(self.fields) == 1 else {f: got[w] for f, got in zip(self.fields, found, strict=True)} for w in wanted]
         return rows if many else rows[0]
 
+    def frame(self, positions: DataFrame) -> DataFrame:
+        """Keys and records' bytes at ``positions`` (a column of whole numbers, negative ones from the end), a row for each; neither comes to the driver."""
+        at = positions.select(F.col(f"`{positions.columns[0]}`").cast("long").alias("_i"))
+        n = len(self)
+        if bad := at.where((F.col("_i") < -n) | (F.col("_i") >= n) | F.col("_i").isNull()).first():
+            raise IndexError(bad[0])
+        parts = [(first >> 33, first, end) for first, end in zip(self.firsts, [0, *self.ends[:-1]], strict=True)] if n else []
+        starts = F.broadcast(self.dataset.spark.createDataFrame(parts, "_p long, _first long, _start long"))
+        placed = self.rows.join(starts, F.shiftright("_at", 33) == F.col("_p")).withColumn("_n", F.col("_at") - F.col("_first") + F.col("_start"))
+        out = placed.join(at.select(F.when(F.col("_i") < 0, F.col("_i") + n).otherwise(F.col("_i")).alias("_n")), "_n")
+        names = [f"_{i}" for i in range(len(self.fields))]
+        out = out.select("_key", *names)
+        for name in names:
+            out = fetch(out, name, files_of(self.rows, name, self.dataset.location), self.dataset.location)
+        return out.select(*(F.col("_key")[k].alias(k) for k in self.dataset.primary_keys), *(F.col(c).alias(f) for c, f in zip(names, self.fields, strict=True)))
+
     def close(self) -> None:
         self.dataset.log.store.delete(self.folder)

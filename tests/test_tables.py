@@ -219,6 +219,29 @@ def test_random_access(records):
     assert not os.listdir(os.path.join(records.location, "tmp"))
 
 
+def test_random_access_of_any_size_stays_off_the_driver(spark, records, monkeypatch):
+    records.delete(field("id") == 3)
+    two = RandomAccess(records, ["c", "b"])
+    got = sorted((r.id, r.b, r.c) for r in two.frame(spark.createDataFrame([(0,), (-1,), (3,), (3,), (5,)], "at int")).collect())
+    assert got == [(0, b"b0", None), (4, b"b4", b"c4"), (4, b"b4", b"c4"), (6, b"b6", b"c6"), (39, b"b39", b"c39")]
+    for bad in (39, -40, None):
+        with pytest.raises(IndexError):
+            two.frame(spark.createDataFrame([(bad,)], "at long"))
+    kind = type(records.read())
+    seen, collect = [], kind.collect
+
+    def told(self):
+        seen.extend(out := collect(self))
+        return out
+
+    monkeypatch.setattr(kind, "collect", told)
+    from shalebed import queries
+
+    pages = queries.queries()["random_access_rows"](spark, "/root/testdata/sf0.001")
+    assert len(seen) < 100 and not any(isinstance(v, (bytes, str)) and len(v) > 300 for r in seen for v in r)
+    assert pages.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count() > 0
+
+
 def test_a_view_must_hold_the_keys_of_its_source(spark, tmp_path):
     t = Dataset.create(spark, str(tmp_path / "t"), "id long, turn long, x double", ["id", "turn"])
     t.append({"id": [1, 1, 2], "turn": [0, 1, 0], "x": [1.0, 2.0, 3.0]})
