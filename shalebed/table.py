@@ -26,6 +26,8 @@ from .sources.log import Log, Store
 
 MAIN = "main"
 DELETE, ADD = "DELETE", "ADD"
+#: Bytes of data files that one task sorts in a compaction.
+RANGE_BYTES = 16 << 20
 
 
 @dataclass
@@ -231,10 +233,11 @@ class Dataset(View):
         files = self._files(manifest)
         return self._scan(files).withColumn("_p", F.col("_metadata.file_path") if files else F.lit(None).cast("string"))
 
-    def _write(self, df: DataFrame) -> tuple[str, dict]:
-        """Write rows of the physical schema to a new folder; the manifest's path and the sums."""
+    def _write(self, *parts: DataFrame) -> tuple[str, dict]:
+        """Write rows of the physical schema to a new folder, one frame after the other; the manifest's path and the sums."""
         txn = f"data/{uuid.uuid4().hex}"
-        df.write.options(**self.write_options).parquet(f"{self.location}/{txn}")
+        for df in parts:
+            df.write.options(**self.write_options).mode("append").parquet(f"{self.location}/{txn}")
         return self._describe(self._scan([f"{self.location}/{txn}"]), lambda: F.concat(F.lit(f"{txn}/"), F.col("_metadata.file_name")))
 
     def _describe(self, rows: DataFrame, name: Callable[[], Column]) -> tuple[str, dict]:
@@ -516,11 +519,23 @@ class Dataset(View):
 
     @mutation
     def compact(self, files: int = 1) -> JobResult | None:
-        """Rewrite the current version's files into ``files`` of them, sorted by key; rows and feed don't change."""
+        """Rewrite the current version's files into ``files`` of them, sorted by key; rows and feed don't change.
+
+        Ranges of about ``RANGE_BYTES`` are sorted each by a task of its own and then
+        copied in order, so that no task sorts a whole file.
+        """
         parent = self._head()
         if parent["stats"]["num_files"] <= files:
             return None
         rows = self._scan(self._files(self._manifest(parent["manifests"])))
-        manifest, _ = self._write(rows.repartitionByRange(files, *self.primary_keys).sortWithinPartitions(*self.primary_keys))
+        keys, path = [f"`{k}`" for k in self.primary_keys], f"{self.location}/{self.aside()}"
+        n = files * max(1, -(-parent["stats"]["bytes"] // (files * RANGE_BYTES)))
+        rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.parquet(path)
+        # names tell the order; a partition of several files would be read by their sizes
+        ranges = sorted(self.spark.read.schema(rows.schema).parquet(path).inputFiles())
+        ends = [-(-len(ranges) * i // files) for i in range(files + 1)]
+        copies = [functools.reduce(DataFrame.union, [self.spark.read.schema(rows.schema).parquet(r) for r in ranges[a:b]]).coalesce(1) for a, b in zip(ends, ends[1:], strict=False) if a < b]
+        # a job for each: a union of frames of one partition may be one partition
+        manifest, _ = self._write(*(copies or [rows]))
         return self._commit(parent, [manifest], [], [])
 

@@ -187,6 +187,29 @@ def test_write_options(table):
     assert table.index_manifest(field("id") >= 100).count() == 4
 
 
+@pytest.mark.parametrize("files", [1, 2])
+def test_compaction_sorts_ranges_not_whole_files(spark, tmp_path, monkeypatch, files):
+    from shalebed import table as T
+
+    t = Dataset.create(spark, str(tmp_path / "t"), "id long, x double", ["id"])
+    for k in range(3):
+        t.append(spark.range(k, 3000, 3).selectExpr("id", "rand(1) as x"))
+    monkeypatch.setattr(T, "RANGE_BYTES", t.snapshot()["stats"]["bytes"] // 9, raising=False)
+    before, sorts, sort = sorted(map(tuple, t.read().collect())), [], type(t.read()).repartitionByRange
+
+    def told(self, n, *cols):
+        sorts.append(n)
+        return sort(self, n, *cols)
+
+    monkeypatch.setattr(type(t.read()), "repartitionByRange", told)
+    assert t.compact(files).state is DONE and sorts[0] >= 9
+    held = [[r.id for r in spark.read.parquet(p).coalesce(1).collect()] for p in t.index_files()]
+    assert len(held) == files and all(h == sorted(h) for h in held)
+    assert files == 1 or max(min(held)) < min(max(held))
+    assert sorted(map(tuple, t.read().collect())) == before
+    assert not os.listdir(os.path.join(t.location, "tmp"))
+
+
 @pytest.fixture
 def records(spark, tmp_path):
     t = Dataset.create(spark, str(tmp_path / "r"), "id long, b binary, c binary", ["id"], ["b", "c"])
